@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontaminate, mixing, quality_rules
+from . import classifier, decontaminate, line_dedup, mixing, neardup, quality_rules
 
 QUERIES = {
+    "op1_near_dedup": neardup.query,
     "op2_mix_sources": mixing.query,
     "op3_decontaminate": decontaminate.query,
+    "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
+    "op10_quality_classifier": classifier.query,
 }
 
 SQL = {
     "op2_mix_sources": mixing.SQL,
     "op3_decontaminate": decontaminate.SQL,
+    "op6_line_dedup": line_dedup.SQL,
     "op7_quality_rules": quality_rules.SQL,
 }
