@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import classifier, decontaminate, html_text, line_dedup, mixing, neardup, quality_rules, tokens, warc
+from . import classifier, decontaminate, html_text, line_dedup, mixing, neardup, quality_rules, substring_dedup, tokens, warc
 
 QUERIES = {
     "op1_near_dedup": neardup.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_line_dedup": line_dedup.query,
     "op7_quality_rules": quality_rules.query,
     "op8_html_text": html_text.query,
+    "op9_substring_dedup": substring_dedup.query,
     "op10_quality_classifier": classifier.query,
 }
 
