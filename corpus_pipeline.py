@@ -35,7 +35,7 @@ def mixture(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def token_output(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Writes the token files and gives a row for each document read back from them."""
-    return tokens.encode_and_load(docs).drop("ids")
+    return tokens.encode_and_load(docs)
 
 
 STAGES = [

@@ -90,18 +90,18 @@ def _anchor_rows(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, span: int) -> DataFrame:
-    """docs: doc_id, th, text, at (array of pos, h, m).  The bytes around each anchor."""
+    """docs: doc_id, th, text, at (array of pos, h, m, hot).  The bytes around each anchor."""
     k = span // 2
 
     def run(batches):
         for batch in batches:
-            out = {n: [] for n in ("h", "doc_id", "th", "pos", "m", "left", "ctx")}
+            out = {n: [] for n in ("h", "doc_id", "th", "pos", "m", "hot", "left", "ctx")}
             ids, ths = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
             for i, places in enumerate(batch.column("at").to_pylist()):
                 t = batch.column("text")[i].as_buffer().to_pybytes()
                 for x in places:
                     s = max(x["pos"] - (span - k), 0)
-                    for n, v in zip(out, (x["h"], ids[i], ths[i], x["pos"], x["m"], x["pos"] - s, t[s : x["pos"] + span])):
+                    for n, v in zip(out, (x["h"], ids[i], ths[i], x["pos"], x["m"], x["hot"], x["pos"] - s, t[s : x["pos"] + span])):
                         out[n].append(v)
                 if len(out["h"]) >= 5000:
                     yield pa.RecordBatch.from_pydict(out, schema)
@@ -109,9 +109,9 @@ def _contexts(docs: DataFrame, span: int) -> DataFrame:
             if out["h"]:
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([("h", pa.int64()), ("doc_id", _arrow(docs)), ("th", pa.int64()), ("pos", pa.int32()), ("m", pa.int64()), ("left", pa.int32()), ("ctx", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("doc_id", _arrow(docs)), ("th", pa.int64()), ("pos", pa.int32()), ("m", pa.int64()), ("hot", pa.bool_()), ("left", pa.int32()), ("ctx", pa.binary())])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"h long, doc_id {kind}, th long, pos int, m long, left int, ctx binary")
+    return docs.mapInArrow(run, f"h long, doc_id {kind}, th long, pos int, m long, hot boolean, left int, ctx binary")
 
 
 def _arrow(df: DataFrame):
@@ -221,17 +221,15 @@ def spans(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     classes = common.materialize(classes.select("h", "c", "m", "rep.*"), "contexts")
     whole = again.where("c1 = c2").select("doc_id", "th", "pos").unionByName(mixed.join(classes.where("m > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "th", "pos"))
     whole = whole.select("doc_id", "th", (F.col("pos") - reach).alias("start"), (F.col("pos") + span).alias("stop"))
-    places = classes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "m")).alias("at")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "at")
-    needed = docs.join(places, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "text", "at")
-    around = _contexts(needed, span)
-    many = classes.groupBy("h").agg(F.count(F.lit(1)).alias("k")).where(F.col("k") > hot).select("h")
+    many = classes.groupBy("h").agg((F.count(F.lit(1)) > hot).alias("hot"))
+    places = classes.join(many, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "m", "hot")).alias("at")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "at")
+    needed = docs.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "text", "at")
+    around = common.materialize(_contexts(needed, span), "around")
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    if many.isEmpty():
-        fine = _fine(around.repartition(parts, "h").sortWithinPartitions("h"), span)
-    else:
-        around = common.materialize(around, "around")
-        fine = _fine(around.join(many, "h", "left_anti").repartition(parts, "h").sortWithinPartitions("h"), span)
-        fine = fine.unionByName(_fine_rows(around.join(many, "h", "left_semi"), span))
+    fine = _fine(around.where(~F.col("hot")).repartition(parts, "h").sortWithinPartitions("h"), span)
+    rest = around.where("hot")
+    if not rest.isEmpty():
+        fine = fine.unionByName(_fine_rows(rest, span))
     return whole.unionByName(fine)
 
 
@@ -269,7 +267,7 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, output: bool = True, hot
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
     cut = spans(docs, span, hot).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("cut")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "cut")
-    both = docs.join(cut, F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
+    both = docs.join(cut.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2")), "left")
     return _keep(both.select("doc_id", "text", "cut"), output)
 
 

@@ -10,8 +10,8 @@ offset inside the shard, control bytes, data bytes), range-partitioned and sorte
 run again replaces its shard.  A document's start among all ids is the total of the shards before
 its own plus its offset.
 
-Encoding is memoised by blank-separated word: the tokenizer drops white space, so a text's ids are
-those of its words in order.  Texts for which that could differ (not in normal form C, or with
+Encoding is memoised by blank-separated word, and new words by piece: the tokenizer drops white space, so
+a text's ids are those of its words in order.  Texts for which that could differ (not in normal form C, or with
 letters whose lower case depends on their neighbours) are encoded whole.
 
 Defined results: null and empty texts are the end id alone; null doc_id sorts first; rows that
@@ -20,18 +20,39 @@ share a doc_id are ordered by a hash of the text; an empty table gives no rows.
 
 from __future__ import annotations
 
+import itertools
+import re
 import unicodedata
 import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
 END_ID = 1
-CACHE_WORDS = 1_000_000
+#: Bounds of the memo: beyond the first, all but the words learned first are forgotten.
+CACHE_WORDS, KEPT_WORDS = 600_000, 400_000
+SLICE = 500
+
+
+#: The tokenizer's own split, for the letters of _PLAIN_WORD.
+_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+_POINTS = {".", ",", "!", "?", ":", ";"}
+_PLAIN_WORD = re.compile(r"[!-@\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+
+
+def _byte_signs() -> dict[int, int]:
+    """The sign that stands for each byte: itself if it can be seen, else one from 256 up."""
+    seen = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in seen]
+    return {b: b for b in seen} | {b: 256 + i for i, b in enumerate(rest)}
+
+
+_BYTE_SIGNS = _byte_signs()
 
 
 def default_tokenizer() -> str:
@@ -43,15 +64,11 @@ def default_tokenizer() -> str:
 class Encoder:
     """Ids of texts, exactly those of the tokenizer without special tokens."""
 
-    #: A sign that is one token when it stands alone, so that it parts the words of a joined text.
-    MARK = "~"
-
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        mark = self.tokenizer.encode(self.MARK, add_special_tokens=False).ids
-        self.mark = mark[0] if len(mark) == 1 else None
+        self.model = self.tokenizer.model
         self.clear()
 
     def clear(self) -> None:
@@ -61,6 +78,11 @@ class Encoder:
         self.flat = np.zeros(1 << 18, np.uint32)
         self.used = 0
 
+    def _shrink(self) -> None:
+        """Forgets all but the words that came first: those are the frequent ones."""
+        self.index = dict(itertools.islice(self.index.items(), KEPT_WORDS))
+        self.used = int(self.start[KEPT_WORDS])
+
     def _plain(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
@@ -76,22 +98,31 @@ class Encoder:
         self.used += m
         self.index.update(zip(words, range(n, n + len(words))))
 
+    def _piece(self, piece: str) -> list[int]:
+        i = self.index.get(piece)
+        if i is not None:
+            at = self.start[i]
+            return self.flat[at : at + self.count[i]].tolist()
+        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_SIGNS))]
+
     def _learn(self, new: list[str]) -> None:
-        plain = [w for w in new if self.MARK not in w] if self.mark is not None else []
-        rest = [w for w in new if self.MARK in w] if self.mark is not None else new
-        for i in range(0, len(plain), 1000):
-            part = plain[i : i + 1000]
-            ids = self._plain(f" {self.MARK} ".join(part))
-            marks = ids == self.mark
-            cuts = np.flatnonzero(marks)
-            if len(cuts) == len(part) - 1:
-                ends = np.concatenate(([-1], cuts, [len(ids)]))
-                self._add(part, ids[~marks], np.diff(ends) - 1)
-            else:
-                rest += part
-        for w in rest:
-            ids = self._plain(w)
-            self._add([w], ids, np.array([len(ids)]))
+        """Words of letters, and plain ones, go through the model piece by piece, others through the whole tokenizer."""
+        ids: list[int] = []
+        counts = []
+        for w in new:
+            before = len(ids)
+            if w.isalpha():
+                ids += self._piece(w)
+            elif w[-1:] in _POINTS and w[:-1].isalpha():
+                ids += self._piece(w[:-1])
+                ids += self._piece(w[-1])
+            elif _PLAIN_WORD.fullmatch(w):
+                for piece in _PIECES.findall(w):
+                    ids += self._piece(piece)
+            elif w:
+                ids += self._plain(w).tolist()
+            counts.append(len(ids) - before)
+        self._add(new, np.array(ids, np.uint32), np.array(counts, np.int64))
 
     def encode_many(self, texts) -> list[np.ndarray]:
         out: list = [None] * len(texts)
@@ -109,7 +140,7 @@ class Encoder:
         if not words:
             return out
         if len(self.index) > CACHE_WORDS:
-            self.clear()
+            self._shrink()
         at = list(map(self.index.get, words))
         if None in at:
             self._learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
@@ -177,6 +208,14 @@ def _in_chunks(enc: Encoder, texts: list):
         yield from zip(part, enc.encode_many(part))
 
 
+def _count(counts: np.ndarray, parts: list) -> np.ndarray:
+    c = np.bincount(np.concatenate(parts)) if parts else np.zeros(0, np.int64)
+    out = np.zeros(max(len(c), len(counts)), np.int64)
+    out[: len(counts)] += counts
+    out[: len(c)] += c
+    return out
+
+
 def _squeeze(ids: np.ndarray) -> bytes:
     return ids.astype("<u2" if not len(ids) or ids.max() < 65536 else "<u4").tobytes()
 
@@ -188,28 +227,28 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def encode(batches):
+        # small slices: only the Arrow batch itself is as large as Spark makes it
         enc = encoder(tokenizer)
-        for pdf in batches:
-            rows, counts = [], np.zeros(0, np.int64)
-            for t, ids in _in_chunks(enc, list(pdf["text"])):
-                ids = np.append(ids, np.uint32(end_id))
-                rows.append((len(ids), _squeeze(ids), zlib.crc32((t or "").encode("utf-8", "surrogatepass"))))
-                c = np.bincount(ids)
-                if len(c) > len(counts):
-                    c[: len(counts)] += counts
-                    counts = c
-                else:
-                    counts[: len(c)] += c
-            seen = np.flatnonzero(counts)
-            out = pd.DataFrame(rows, columns=["n", "ids", "tie"])
-            out.insert(0, "doc_id", pdf["doc_id"].to_numpy())
-            out["counts"] = None
-            if len(out):
-                out.at[0, "counts"] = np.stack((seen, counts[seen]), axis=1).astype("<i8").tobytes()
-            yield out
+        for batch in batches:
+            for at in range(0, batch.num_rows, SLICE):
+                part = batch.slice(at, SLICE)
+                rows, counts, ids_of, held = [], np.zeros(end_id + 1, np.int64), [], 0
+                for t, ids in _in_chunks(enc, part.column("text").to_pylist()):
+                    ids_of.append(ids)
+                    held += len(ids)
+                    if held > 500_000:
+                        counts, ids_of, held = _count(counts, ids_of), [], 0
+                    ids = np.append(ids, np.uint32(end_id))
+                    rows.append((len(ids), _squeeze(ids), zlib.crc32((t or "").encode("utf-8", "surrogatepass"))))
+                counts = _count(counts, ids_of)
+                counts[end_id] += len(rows)
+                seen = np.flatnonzero(counts)
+                table = np.stack((seen, counts[seen]), axis=1).astype("<i8").tobytes()
+                columns = [part.column("doc_id"), pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.int64()), pa.array([table] + [None] * (len(rows) - 1), pa.binary())]
+                yield pa.RecordBatch.from_arrays(columns, ["doc_id", "n", "ids", "tie", "counts"])
 
     raw_path = common.shared_path(spark, "ids")
-    raw = common.materialize(docs.select("doc_id", "text").mapInPandas(encode, f"doc_id {kind}, n long, ids binary, tie long, counts binary"), "ids", raw_path)
+    raw = common.materialize(docs.select("doc_id", "text").mapInArrow(encode, f"doc_id {kind}, n long, ids binary, tie long, counts binary"), "ids", raw_path)
 
     def spread(batches):
         for pdf in batches:
@@ -251,8 +290,8 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
     return path
 
 
-def load(spark, path: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 and ids (array) from the files of ``write``."""
+def load(spark, path: str, with_ids: bool = True) -> DataFrame:
+    """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit numbers) from the files of ``write``."""
     shards = spark.read.parquet(f"{path}/shards")
     pairs = spark.read.parquet(f"{path}/ranks").select("id", "rank").toPandas().to_numpy(np.int64)
     table = np.zeros(len(pairs) or 1, np.uint32)
@@ -264,21 +303,22 @@ def load(spark, path: str) -> DataFrame:
         ids_of = shared.value
         for pdf in batches:
             ids = [ids_of[unpack(c, d, n)] for n, c, d in zip(pdf["n"], pdf["control"], pdf["data"])]
-            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "offset": pdf["offset"], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids], "ids": [x.astype("<u4").tobytes() for x in ids]})
+            yield pd.DataFrame({"shard": pdf["shard"], "doc_id": pdf["doc_id"], "offset": pdf["offset"], "n_tokens": [len(x) for x in ids], "ids_crc32": [zlib.crc32(x.astype("<u4").tobytes()) for x in ids]} | ({"ids": [x.astype("<u4").tobytes() for x in ids]} if with_ids else {}))
 
     # one row per shard
     totals = shards.groupBy("shard").agg(F.sum("n").alias("t"))
     before = F.coalesce(F.sum("t").over(Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     bases = totals.select(F.col("shard").alias("s2"), before.alias("base"))
-    out = shards.mapInPandas(decode, f"shard long, doc_id {kind}, offset long, n_tokens long, ids_crc32 long, ids binary")
+    out = shards.mapInPandas(decode, f"shard long, doc_id {kind}, offset long, n_tokens long, ids_crc32 long" + ", ids binary" * with_ids)
     out = out.join(bases, F.col("shard") == F.col("s2"))
-    return out.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", "ids")
+    return out.select("doc_id", (F.col("base") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32", *(["ids"] * with_ids))
 
 
 def encode_and_load(docs: DataFrame, **options) -> DataFrame:
+    """What the files say of each document, without the ids themselves."""
     spark = docs.sparkSession
-    return load(spark, write(docs, common.shared_path(spark, "tokens"), **options))
+    return load(spark, write(docs, common.shared_path(spark, "tokens"), **options), with_ids=False)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return encode_and_load(common.read(spark, sf_dir, "documents")).drop("ids")
+    return encode_and_load(common.read(spark, sf_dir, "documents"))
