@@ -12,9 +12,10 @@ are 128-bit hashes and so need no global ranks.  Places with equal names form th
 suffix array whose longest common prefix is at least that window; the order among intervals, for
 which a suffix array would be sorted, is used by nothing here, so the sort is left out.  For each
 place two windows matter: the shortest run of ``min_words`` words that starts there and the
-shortest that ends there.  Its name combines two overlapping names of the level below its length.
-Every maximal repeated run is the union of such windows, so one grouping by name, with the first
-place of each interval, finds all of them.  Only lines that occur twice can be in a repeated run,
+shortest that ends there; where two lines in turn are such windows alone, the two together are a
+third.  Its name combines two overlapping names of the level below its length.  Every maximal
+repeated run, blank lines inside it included, is the union of such windows, so one grouping by
+name, with the first place of each interval, finds all of them.  Only lines that occur twice can be in a repeated run,
 and the grouping is a partial aggregate, so a line that a third of all documents hold is one row
 per task.
 
@@ -51,7 +52,7 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     repeated = lines.join(twice, ["a", "b"], "left_semi").withColumn("p", F.sum("n").over(seq))
     df = repeated.groupBy("doc_id", "__t").agg(F.array_sort(F.collect_list(F.struct("i", "pos", "n", "p", "a", "b"))).alias("s"))
     df = df.withColumn("n0", F.transform("s", lambda x: F.struct(x["a"].alias("a"), x["b"].alias("b"))))
-    levels = max(1, min_words).bit_length()  # a window has min_words lines at most
+    levels = max(2, min_words).bit_length()  # a window has two or min_words lines at most
     for k in range(1, levels):
         half = 2 ** (k - 1)
         n = F.greatest(F.size("s") - half, F.lit(0))
@@ -65,7 +66,9 @@ def windows(lines: DataFrame, min_words: int) -> DataFrame:
     places = F.sequence(F.lit(1), size)
     forward = F.transform(places, lambda j: F.struct(j.alias("j"), F.try_element_at(ahead(j), F.lit(1)).alias("e")))
     backward = F.transform(places, lambda e: F.struct(F.try_element_at(back(e), F.lit(-1)).alias("j"), e.alias("e")))
-    df = df.withColumn("w", F.array_distinct(F.concat(forward, backward)))
+    # two lines that are windows each: the blank lines between them belong to a run that holds both
+    neighbours = F.transform(places, lambda j: F.struct(j.alias("j"), F.when((j < size) & (at(j)["n"] >= min_words) & (at(F.least(j + 1, size))["n"] >= min_words), j + 1).alias("e")))
+    df = df.withColumn("w", F.array_distinct(F.concat(forward, backward, neighbours)))
     # both ends there, and no line between them that occurs only once
     unbroken = lambda x: x["j"].isNotNull() & x["e"].isNotNull() & (at(x["e"])["i"] - at(x["j"])["i"] == x["e"] - x["j"])
     df = df.withColumn("w", F.filter("w", unbroken)).select("*", F.explode("w").alias("x")).select("*", "x.j", "x.e")
@@ -122,7 +125,8 @@ l AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS i, sum(n
   FROM (SELECT *, len(regexp_extract_all(line, '[^\x20\x09-\x0D]+')) AS n FROM l0) WHERE n > 0),
 a AS (SELECT doc_id, list(line ORDER BY i) AS ls FROM l GROUP BY doc_id),
 e AS (SELECT x.doc_id, x.i AS j, x.pos AS s, y.i AS e, y.pos AS z FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i BETWEEN x.i AND x.i + {MIN_WORDS - 1} AND y.p - x.p + x.n >= {MIN_WORDS}),
-w AS (SELECT doc_id, j, min(s) AS s, min(e) AS e, min(z) AS z FROM e GROUP BY doc_id, j UNION SELECT doc_id, max(j), max(s), e, max(z) FROM e GROUP BY doc_id, e),
+w AS (SELECT doc_id, j, min(s) AS s, min(e) AS e, min(z) AS z FROM e GROUP BY doc_id, j UNION SELECT doc_id, max(j), max(s), e, max(z) FROM e GROUP BY doc_id, e
+  UNION SELECT x.doc_id, x.i, x.pos, y.i, y.pos FROM l x JOIN l y ON x.doc_id = y.doc_id AND y.i = x.i + 1 AND x.n >= {MIN_WORDS} AND y.n >= {MIN_WORDS}),
 g AS (SELECT w.*, md5(array_to_string(ls[j:e], chr(10))) AS h FROM w JOIN a USING (doc_id)),
 b AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY h ORDER BY doc_id, s) AS r FROM g) WHERE r > 1),
 x AS (SELECT DISTINCT b.doc_id, l0.pos FROM b JOIN l0 ON l0.doc_id = b.doc_id AND l0.pos BETWEEN b.s AND b.z),
