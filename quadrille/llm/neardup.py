@@ -13,7 +13,8 @@
    documents of one centre can be linked only if they share at least
    80/180 * (n + n') - min(i, i') extra shingles (what many of them share counts as the centre's).  So those pairs come from an index of extra
    shingles, which are mostly a document's own, and not from the bucket.  Pairs that this leaves out
-   or cannot judge (other centres, or a bound of zero) meet in the bucket: each round a growing
+   or cannot judge (other centres, or a bound of zero, which both documents need 80% of their shingles
+   in the centre for) meet in the bucket: each round a growing
    number of members outside the largest label, the most met first, meet members of other labels
    and leave the bucket.  There, shingles that no other open document has cannot be shared either.
 4. A pair is first compared by its signatures (one byte of each of the 200 minima; a pair at the
@@ -206,15 +207,29 @@ def link(docs: DataFrame, width: int, pct: int = SIMILARITY_PCT) -> DataFrame:
         known = known.groupBy("node").agg(F.min("component").alias("component"))
         return common.materialize(known.join(merged.withColumnRenamed("node", "component"), "component", "left").select("node", F.coalesce("c2", "component").alias("component")), "labels")
 
+    room = lambda i, n: F.col(i) * (100 + pct) - F.col(n) * pct
+    need = lambda n: F.col(n) * pct
     open_rows, pivots, first = members, FIRST_PIVOTS, True
     while True:
         now = open_rows.select("bucket", "doc_id", "met", *(["pivot"] if first else ["sn", "ss", "centre", "cn", "ci"])).join(labels.withColumnRenamed("node", "doc_id"), "doc_id", "left")
         now = now.withColumn("label", F.coalesce("component", "doc_id")).drop("component")
         if first:
             now = now.where("doc_id <> pivot").drop("pivot")  # the first pivot has met all
-        per = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"))
-        largest = per.groupBy("bucket").agg(F.max_by("label", "c").alias("largest"), F.count(F.lit(1)).alias("labels")).where("labels > 1").drop("labels")
-        open_rows = common.materialize(now.join(largest, "bucket"), "open")
+        # x and y can be linked only if room(x) >= need(y) and room(y) >= need(x): by their shared shingles, and by those in the centre if they have one centre
+        bounds = [] if first else [F.max(F.coalesce(room("ss", "sn"), F.lit(2**62))).alias("g"), F.min(F.coalesce(need("sn"), F.lit(0))).alias("m"), F.max(room("ci", "cn")).alias("f"), F.min(need("cn")).alias("k"), F.min("centre").alias("c1"), F.max("centre").alias("c2"), F.count("centre").alias("n")]
+        per = common.materialize(now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("c"), *bounds), "labels-of-buckets")
+        mixed = F.lit(True) if first else (F.min("c1") < F.max("c2")) | (F.sum("n") < F.sum("c"))
+        largest = per.groupBy("bucket").agg(F.max_by("label", F.struct("c", "label")).alias("largest"), F.count(F.lit(1)).alias("labels"), mixed.alias("mixed")).where("labels > 1").drop("labels")
+        if not first:  # what the members of other labels can meet at all
+            others = per.join(largest.withColumnRenamed("bucket", "b"), (F.col("bucket") == F.col("b")) & (F.col("label") != F.col("largest")))
+            largest = others.groupBy("bucket", "largest", "mixed").agg(F.max("g").alias("g"), F.min("m").alias("m"), F.max("f").alias("f"), F.min("k").alias("k"))
+        left_open = now.join(largest, "bucket")
+        if not first:
+            meets = F.col("sn").isNull() | ((need("sn") <= F.col("g")) & (room("ss", "sn") >= F.col("m")))
+            near = F.col("mixed") | ((need("cn") <= F.col("f")) & (room("ci", "cn") >= F.col("k")))
+            alone = F.col("mixed") | (F.col("ci") * 100 >= F.col("cn") * pct)
+            left_open = left_open.where(alone & ((F.col("label") != F.col("largest")) | (meets & near)))
+        open_rows = common.materialize(left_open.drop("mixed", "g", "m", "f", "k"), "open")
         if first and not open_rows.isEmpty():
             counts = common.materialize(_shared_counts(full, open_rows.select("doc_id").distinct()), "shared")
             centre = members.join(met.select(F.col("doc_id").alias("pivot"), F.col("met").alias("pm")), "pivot").groupBy("doc_id").agg(F.max_by("pivot", F.struct("pm", F.xxhash64("pivot"))).alias("centre"))
