@@ -1,19 +1,19 @@
 """Removal of every byte that a repeated 400-byte string covers.
 
-The method named for this operator is a run-length compressed index with matching statistics
-(``runlength.py`` has it, for corpora of one task's memory).  Its build is sequential over the
-whole text and far from what a distributed run may cost (figures in the README), so this operator
-marks the same bytes another way; tests hold both and brute force against each other.
+Long matches are marked by a run-length index (``runlength.py``): a run-compressed Burrows-Wheeler
+transform with sampled run ends, whose samples give the matching statistics of every place.  An
+index is built over the text of one task, so what can match comes to one task first:
 
 1. Anchors.  Of the 201 strings of 200 bytes inside each 400-byte string, the one with the smallest
    hash is its anchor (all of them at ties).  Equal strings have equal anchors at equal offsets, so
    only documents' anchors, about one per 100 bytes, are compared at all.
 2. Contexts.  Everything a string with that anchor can reach is the 600 bytes around it.  Anchors
    that share hash and context are fully repeated: their whole context is marked.
-3. Rest.  Where a repeated anchor has several contexts, one of each goes to a task that rolls a hash
-   over the 201 strings around the anchor, for all contexts of the anchor at once, and marks those
-   that two contexts share.  Anchors with more than ``HOT`` different contexts take the same
-   comparison as rows of an aggregate instead, so no task holds an unbounded group.
+3. Index.  Where a repeated anchor has several contexts, one of each goes to the anchor's task.
+   Contexts of one document that overlap are joined there, so every byte of a document is in an
+   index once, and a match with another place is a repeat.  Anchors with more than ``HOT``
+   different contexts, which no task should hold, take the same comparison as rows of an aggregate
+   of rolled hashes instead.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts under 400 bytes
 keep all; rows repeated in full are copies of each other; null doc_id is a document like any other.
@@ -29,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
+from .runlength import RunLengthIndex
 from .shingles import _BYTE, CHUNK, mix, powers
 
 SPAN = 400
@@ -142,34 +143,37 @@ def _rolled(h: np.ndarray, left: np.ndarray, ctx: list[bytes], span: int):
             now = (now - value[a]) * inverse[1] + value[a + span] * p[span - 1]
 
 
-def _compare(h, left, ctx, span) -> np.ndarray:
-    """(contexts, shifts): which strings two contexts of one anchor share."""
-    shared = np.zeros((len(h), span - span // 2 + 1), bool)
-    for a, key, valid in _rolled(h, left, ctx, span):
-        at = np.flatnonzero(valid)
-        order = at[np.argsort(key[at], kind="stable")]
-        same = key[order][1:] == key[order][:-1]
-        both = np.zeros(len(order), bool)
-        both[1:] |= same
-        both[:-1] |= same
-        shared[order[both], a] = True
-    return shared
+def _segments(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(text, row, place) of the stretches of documents that the contexts cover; those that overlap are joined."""
+    codes = t.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    th = t.column("th").to_numpy()
+    start = t.column("pos").to_numpy() - t.column("left").to_numpy()
+    ctx = t.column("ctx").to_pylist()
+    parts: list[bytearray] = []
+    row, place = [], []
+    now, stop = None, 0
+    for i in np.lexsort((start, th, codes)):
+        own, s = (codes[i], th[i]), int(start[i])
+        if own != now or s > stop:
+            parts.append(bytearray(ctx[i]))
+            row.append(i)
+            place.append(s)
+            now, stop = own, s + len(ctx[i])
+        elif s + len(ctx[i]) > stop:
+            parts[-1] += ctx[i][stop - s :]
+            stop = s + len(ctx[i])
+    return [bytes(x) for x in parts], np.array(row, np.int64), np.array(place, np.int64)
 
 
 def _fine(contexts: DataFrame, span: int) -> DataFrame:
     """contexts sorted by h inside each partition -> doc_id, th, start, stop."""
-    reach = span - span // 2
     schema = pa.schema([("doc_id", _arrow(contexts)), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def marks(t: pa.Table):
-        h, left, pos, m = (t.column(c).to_numpy() for c in ("h", "left", "pos", "m"))
-        shared = _compare(h, left, t.column("ctx").to_pylist(), span)
-        shared[m > 1] = False  # those are marked whole already
-        edge = np.diff(np.pad(shared.astype(np.int8), ((0, 0), (1, 1))), axis=1)
-        row, a = np.nonzero(edge == 1)
-        _, z = np.nonzero(edge == -1)
-        start, stop = pos[row] - reach + a, pos[row] - reach + z - 1 + span
-        take = pa.array(row)
+        parts, row, place = _segments(t)
+        part, first, last = RunLengthIndex(parts).repeats(span)
+        take = pa.array(row[part])
+        start, stop = place[part] + first, place[part] + last + span
         return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(take), t.column("th").combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], schema=schema)
 
     def run(batches):

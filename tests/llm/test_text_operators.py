@@ -256,7 +256,7 @@ def test_substring_dedup(spark, hot):
     assert [got[i] for i in range(len(texts))] == brute_spans(texts, 40)
     assert substring_dedup.dedup_substrings(frame(spark, enumerate(texts)).limit(0), 40).count() == 0
     twins = frame(spark, [(None, base), (None, base), (1, base[:60])])
-    assert sorted(r.n_removed for r in substring_dedup.dedup_substrings(twins, 40).collect()) == [60, len(base.encode()), len(base.encode())]
+    assert sorted(r.n_removed for r in substring_dedup.dedup_substrings(twins, 40).collect()) == sorted(x[1] for x in brute_spans([base, base, base[:60]], 40))
 
 
 def brute_statistics(t):
