@@ -371,20 +371,33 @@ def cross_window_expiry(spark, sf_dir):
 
 
 # -- learned relations: rows only ---------------------------------------------------------------------
+#: The relation is fitted on about so many rows at most, an equal share for each label; it answers for every row.
+FIT_ROWS = 20_000
+
+
 @query("neural_relation")
 def neural_relation(spark, sf_dir):
-    """Learns to tell two labels of the embeddings apart from four components."""
-    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("label in (0, 1)")
-    quads = None
-    for i in range(4):
-        one = v.select(F.lit(None).cast("string").alias("g"), F.concat(F.lit("urn:v:"), F.col("vec_id").cast("string")).alias("s"), F.lit(f"urn:x{i}").alias("p"), F.col("embedding")[i].cast("string").alias("o"))
-        quads = one if quads is None else quads.unionByName(one)
-    gold = v.select(F.lit(None).cast("string").alias("g"), F.concat(F.lit("urn:v:"), F.col("vec_id").cast("string")).alias("s"), F.lit("urn:gold").alias("p"), F.col("label").cast("string").alias("o"))
-    e = QueryEngine(spark, Dataset.from_quads(quads.unionByName(gold)))
-    body = "?v <urn:x0> ?a ; <urn:x1> ?b ; <urn:x2> ?c ; <urn:x3> ?d"
-    return e.query(f'''MODEL "m" {{ ARCH MLP {{ HIDDEN [16] }} OUTPUT EXCLUSIVE {{ "0", "1" }} }}
-NEURAL RELATION <urn:guess> USING MODEL "m" {{ INPUT {{ {body} }} FEATURES {{ ?a, ?b, ?c, ?d }} }}
-TRAIN NEURAL RELATION <urn:guess> {{ DATA {{ {body} ; <urn:gold> ?label }} LABEL ?label LOSS cross_entropy OPTIMIZER adam LEARNING_RATE 0.01 EPOCHS 30 }}
+    """Learns to tell the labels of the embeddings apart, all of them, from the whole vector, and guesses a label for every row.
+
+    Components that a vector lacks are 0.  Labels of more rows than their share of FIT_ROWS are
+    fitted on rows chosen by a hash of vec_id; rows without a label are guessed, not fitted.
+    """
+    v = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    found = v.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.max(F.size("embedding")).alias("width")).orderBy("label").collect()  # a row per label
+    width, labels = max((r["width"] or 0 for r in found), default=0), [r for r in found if r["label"] is not None]
+    share, scale = FIT_ROWS / max(len(labels), 1), 1_000_000
+    kept = F.lit(scale)
+    for r in labels:
+        if r["n"] > share:
+            kept = F.when(F.col("label") == r["label"], F.lit(int(scale * share / r["n"]))).otherwise(kept)
+    gold = F.when(F.pmod(F.xxhash64("vec_id"), F.lit(scale)) < kept, F.col("label"))
+    x = [f"x{i}" for i in range(width)]
+    table = v.select("vec_id", *[F.coalesce(F.get("embedding", F.lit(i)).cast("double"), F.lit(0.0)).alias(c) for i, c in enumerate(x)], gold.alias("gold"))
+    e = QueryEngine(spark, replace(Dataset.from_tables(spark, {"v": table}, {"v": ["vec_id"]}), prefixes={"v": "urn:v#"}))
+    body = "?v " + " ; ".join(f"v:{c} ?{c}" for c in x)
+    return e.query(f'''MODEL "m" {{ ARCH MLP {{ HIDDEN [16] }} OUTPUT EXCLUSIVE {{ {", ".join(f'"{r["label"]}"' for r in labels)} }} }}
+NEURAL RELATION <urn:guess> USING MODEL "m" {{ INPUT {{ {body} }} FEATURES {{ {", ".join(f"?{c}" for c in x)} }} }}
+TRAIN NEURAL RELATION <urn:guess> {{ DATA {{ {body} ; v:gold ?label }} LABEL ?label LOSS cross_entropy OPTIMIZER adam LEARNING_RATE 0.01 EPOCHS 30 }}
 SELECT ?v ?g WHERE {{ ?v <urn:guess> ?g }}''')
 
 

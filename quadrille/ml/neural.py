@@ -99,23 +99,23 @@ def train(ds: Dataset, registry: Registry, d: A.TrainDecl, seed: int = 0, rules:
 
 def predict(rel: Rel, anchor: str, features: list[str], net: MLP, predicate: str, with_probability: bool = False) -> DataFrame:
     """g, s, p, o: (anchor, predicate, label); for binary models only those at 0.5 or more."""
-    schema = T.StructType([T.StructField("label", T.StringType()), T.StructField("prob", T.DoubleType())])
+    schema = T.StructType([T.StructField("s", T.StringType()), T.StructField("label", T.StringType()), T.StructField("prob", T.DoubleType())])
     text = net.dump()
 
-    @F.pandas_udf(schema)
-    def run(x: pd.DataFrame) -> pd.DataFrame:
+    # not a function of columns: filters on its result would be inferred once per subset of the features
+    def run(batches):
         own = MLP.load(text)
-        if not len(x):
-            return pd.DataFrame({"label": [], "prob": []})
-        p = own.probabilities(x.to_numpy(float))
-        if own.kind == "exclusive":
-            best = p.argmax(axis=1)
-            return pd.DataFrame({"label": [own.labels[i] for i in best], "prob": p.max(axis=1)})
-        yes = own.labels[-1] if len(own.labels) == 2 else own.labels[0] if own.labels else "true"
-        return pd.DataFrame({"label": [yes if q >= 0.5 else None for q in p[:, 0]], "prob": p[:, 0]})
-
-    rows = rel.df.select(rel.lex(anchor).alias("s"), *_features(rel, features)).distinct()
-    out = rows.select("s", run(F.struct(*features)).alias("r")).select("s", "r.label", "r.prob")
+        for x in batches:
+            p = own.probabilities(x[features].to_numpy(float))
+            if own.kind == "exclusive":
+                label, prob = [own.labels[i] for i in p.argmax(axis=1)], p.max(axis=1)
+            else:
+                yes = own.labels[-1] if len(own.labels) == 2 else own.labels[0] if own.labels else "true"
+                label, prob = [yes if q >= 0.5 else None for q in p[:, 0]], p[:, 0]
+            yield pd.DataFrame({"s": x["__s"], "label": label, "prob": prob})
+
+    rows = rel.df.select(rel.lex(anchor).alias("__s"), *_features(rel, features)).distinct()
+    out = rows.mapInPandas(run, schema)
     none = F.lit(None).cast("string").alias("g")
     found = out.where("label is not null").select(none, "s", F.lit(predicate).alias("p"), F.col("label").alias("o"))
     if with_probability and net.kind != "exclusive":

@@ -40,3 +40,13 @@ def test_binary_and_errors(spark):
     assert rows(e.query(text + " SELECT ?s ?v WHERE { ?s <urn:yes> ?v }")) == [("urn:t2", "1"), ("urn:t3", "1")]
     with pytest.raises(UnknownModel):
         e.query('ML.PREDICT(MODEL "none", INPUT { SELECT ?s WHERE { ?s <urn:a> ?x } }, OUTPUT ?l) SELECT ?s WHERE { ?s <urn:a> ?x }')
+
+
+def test_registered_relation_learns_all_labels_from_the_whole_vector(spark, tmp_path):
+    from quadrille import catalog
+
+    # labels 1, 5 and 8 differ in the last of 64 components only; the last row has no label
+    data = [(i, [float(i % 3)] * 4 + [0.0] * 59 + [4.0 * (i // 20)], (1, 5, 8)[i // 20]) for i in range(60)] + [(60, [0.0] * 63 + [8.0], None)]
+    spark.createDataFrame(data, "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    want = [(f"urn:v:{i}", str(k or 8)) for i, _, k in data]
+    assert rows(catalog.neural_relation(spark, str(tmp_path))) == sorted(want)
