@@ -260,24 +260,32 @@ def rules_levels(spark, sf_dir):
     return Hierarchy(_hierarchy(spark, sf_dir), {"deductive": (rule([("?x", "within", "?y"), ("?y", "within", "?z")], [("?x", "near", "?z")]),)}).infer()
 
 
-def _likely(spark, sf_dir) -> DataFrame:
-    """supplies: supplier to part, with the discount as probability; stocked: part in brand."""
-    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_quantity > 48 and l_discount > 0")  # noqa: E741
+def _likely(spark, sf_dir, least: int | None = 48) -> DataFrame:
+    """supplies: supplier to part, with the discount as probability (none is no fact); stocked: part in brand.
+
+    Of large orders, or of all lines where ``least`` is None.
+    """
+    l = spark.read.parquet(f"{sf_dir}/lineitem.parquet").where("l_discount > 0")  # noqa: E741
+    if least is not None:
+        l = l.where(F.col("l_quantity") > least)  # noqa: E741
     a = l.groupBy("l_suppkey", "l_partkey").agg(F.max("l_discount").alias("prob")).select(F.concat(F.lit("s:"), F.col("l_suppkey").cast("string")).alias("s"), F.lit("supplies").alias("p"), F.concat(F.lit("p:"), F.col("l_partkey").cast("string")).alias("o"), "prob")
     p = spark.read.parquet(f"{sf_dir}/part.parquet").select(F.concat(F.lit("p:"), F.col("p_partkey").cast("string")).alias("s"), F.lit("brand").alias("p"), F.col("p_brand").alias("o"), F.lit(0.9).alias("prob"))
     return a.unionByName(p)
 
 
 _LIKELY = "WITH a AS (SELECT 's:' || l_suppkey AS s, p_brand AS o, max(l_discount) AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_quantity > 48 AND l_discount > 0 GROUP BY l_suppkey, l_partkey, p_brand) "
+_LIKELY_ALL = "WITH a AS (SELECT 's:' || l_suppkey AS s, p_brand AS o, max(l_discount) AS d FROM lineitem JOIN part ON l_partkey = p_partkey WHERE l_discount > 0 GROUP BY l_suppkey, l_partkey, p_brand) "
 OFFERS = rule([("?s", "supplies", "?p"), ("?p", "brand", "?b")], [("?s", "offers", "?b")])
 
 
 def _provenance(name: str, sql: str, **options) -> None:
-    def run(spark, sf_dir):
-        out = Reasoner(spark, _likely(spark, sf_dir), (OFFERS,)).infer_with_provenance(name, **options).where("p = 'offers'")
+    """Two queries: over large orders, and (_all) over the whole of lineitem."""
+    def run(spark, sf_dir, least=48):
+        out = Reasoner(spark, _likely(spark, sf_dir, least), (OFFERS,)).infer_with_provenance(name, **options).where("p = 'offers'")
         return out.select("s", "o", F.round(F.col("tag").cast("double"), 9).alias("tag"))
 
     QUERIES[f"provenance_{name}"], SQL[f"provenance_{name}"] = run, _LIKELY + sql
+    QUERIES[f"provenance_{name}_all"], SQL[f"provenance_{name}_all"] = lambda spark, sf_dir: run(spark, sf_dir, None), _LIKELY_ALL + sql
 
 
 _provenance("minmax", "SELECT s, o, round(max(least(d, 0.9)), 9) AS tag FROM a GROUP BY s, o")
@@ -302,6 +310,20 @@ def provenance_annotations(spark, sf_dir):
     return annotations(out).where("p like '%proofCount'").select("s", "p", "o")
 
 
+@query("provenance_hybrid_all", _LIKELY_ALL + "SELECT s, o, CASE WHEN 1 - exp(sum(ln(1 - d * 0.9))) >= 0.6605 THEN 'Alert' ELSE 'NoAlert' END AS decision FROM a GROUP BY s, o")
+def provenance_hybrid_all(spark, sf_dir):
+    out = Reasoner(spark, _likely(spark, sf_dir, None), (OFFERS,)).infer_with_provenance("hybrid", options={"threshold": 0.6605})
+    return out.where("p = 'offers'").select("s", "o", "decision")
+
+
+@query("provenance_annotations_all", _LIKELY_ALL + "SELECT '<< ' || s || ' offers ' || o || ' >>' AS s, 'http://www.w3.org/ns/prob#proofCount' AS p, '\"' || count(*) || '\"^^<http://www.w3.org/2001/XMLSchema#integer>' AS o FROM a GROUP BY s, o")
+def provenance_annotations_all(spark, sf_dir):
+    from .prob.evaluate import annotations
+
+    out = Reasoner(spark, _likely(spark, sf_dir, None), (OFFERS,)).infer_with_provenance("wmc").where("p = 'offers'")
+    return annotations(out).where("p like '%proofCount'").select("s", "p", "o")
+
+
 # -- streams ---------------------------------------------------------------------------------------
 def event_stream(spark, sf_dir) -> DataFrame:
     """stream, s, p, o, ts (seconds) of the events table."""

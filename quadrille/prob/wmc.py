@@ -10,7 +10,7 @@ class Budget(Exception):
 
 
 def probability(dnf, prob: dict[int, float], group: dict[int, int] | None = None, nodes: int | None = None) -> float:
-    """Weighted model count by Shannon expansion with memo.
+    """Weighted model count by Shannon expansion with memo; proofs that share no seed and no group are counted apart.
 
     Seeds of one group exclude each other: at most one of them holds, with its own weight.
     """
@@ -29,6 +29,18 @@ def probability(dnf, prob: dict[int, float], group: dict[int, int] | None = None
             out.add(left)
         return frozenset(c for c in out if not any(o < c for o in out))
 
+    def independent(d) -> list:
+        out: list = []  # (seeds and groups, proofs), disjoint
+        for c in d:
+            keys, own, apart = {("group", group[abs(x)]) if abs(x) in group else abs(x) for x in c}, [c], []
+            for k, proofs in out:
+                if keys.isdisjoint(k):
+                    apart.append((k, proofs))
+                else:
+                    keys, own = keys | k, own + proofs
+            out = [*apart, (keys, own)]
+        return [frozenset(proofs) for _, proofs in out]
+
     def solve(d) -> float:
         nonlocal count
         if d is None:
@@ -40,6 +52,13 @@ def probability(dnf, prob: dict[int, float], group: dict[int, int] | None = None
         count += 1
         if nodes is not None and count > nodes:
             raise Budget(count)
+        apart = independent(d)
+        if len(apart) > 1:
+            none = 1.0
+            for x in apart:
+                none *= 1 - solve(x)
+            memo[d] = 1 - none
+            return 1 - none
         uses: dict[int, int] = {}
         for c in d:
             for x in c:

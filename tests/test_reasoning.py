@@ -160,3 +160,31 @@ def test_rule_text(spark):
     e.define_rule("RULE <urn:A> PROB(provenance=hybrid, threshold=0.7) :- CONSTRUCT { ?x <urn:alert> ?v . } WHERE { ?x <urn:hot> ?v }")
     assert rows(e.query("SELECT ?d WHERE { << <urn:s> <urn:alert> ?v >> <http://www.w3.org/ns/prob#decision> ?d }")) == [("Alert",)]
     assert rows(e.query("SELECT ?s WHERE { << ?s <urn:alert> ?v >> <http://www.w3.org/ns/prob#value> ?p . FILTER(?p > 0.7) }")) == [("urn:s",)]
+
+
+def test_proofs_that_share_nothing_are_counted_apart():
+    dnf = [[2 * i + 1, 2 * i + 2] for i in range(40)]
+    prob = {x: 0.1 + x / 200 for x in range(1, 81)}
+    none = 1.0
+    for a, b in dnf:
+        none *= 1 - prob[a] * prob[b]
+    assert abs(wmc.probability(dnf, prob, nodes=500) - (1 - none)) < 1e-9
+    small, group = [[1, 2], [2, -3], [4, 5], [6, 7], [8]], {5: 1, 6: 1}
+    prob = {x: prob[x] for x in range(1, 9)}
+    assert abs(wmc.probability(small, prob, group) - enumerate_probability(small, prob, group)) < 1e-9
+
+
+def test_registered_provenance_over_all_lines(spark, tmp_path):
+    from quadrille import catalog
+
+    lines = [(1, 1, 1.0, 0.05), (1, 1, 2.0, 0.08), (1, 2, 50.0, 0.1), (1, 3, 3.0, 0.02), (1, 4, 9.0, 0.07), (2, 2, 4.0, 0.03), (2, 3, 4.0, 0.0)]
+    spark.createDataFrame(lines, "l_suppkey long, l_partkey long, l_quantity double, l_discount double").write.parquet(f"{tmp_path}/lineitem.parquet")
+    spark.createDataFrame([(1, "x"), (2, "x"), (3, "x"), (4, "y")], "p_partkey long, p_brand string").write.parquet(f"{tmp_path}/part.parquet")
+    proofs = {("s:1", "x"): [0.08, 0.1, 0.02], ("s:1", "y"): [0.07], ("s:2", "x"): [0.03]}
+    want = []
+    for (s, o), ds in proofs.items():
+        dnf = [[2 * i + 1, 2 * i + 2] for i in range(len(ds))]
+        prob = {x: p for i, d in enumerate(ds) for x, p in ((2 * i + 1, d), (2 * i + 2, 0.9))}
+        want.append((s, o, round(enumerate_probability(dnf, prob, {}), 9)))
+    for name in ("wmc", "sdd", "addmult"):
+        assert sorted(tuple(r) for r in catalog.QUERIES[f"provenance_{name}_all"](spark, str(tmp_path)).collect()) == sorted(want)
