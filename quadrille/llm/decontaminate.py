@@ -14,13 +14,16 @@ candidates are then verified by exact containment of the whole sets.
 
 Words are taken after lower-casing A-Z.  Items of fewer than five words are one shingle as long as
 they are.  Defined results: null, empty or blank texts have no shingle and match nothing; repeated
-rows of either table give one pair; a null doc_id is a document like any other (all rows with a
-null id count as one); an empty table on either side gives an empty result.
+rows of either table give one pair; an empty table on either side gives an empty result.  In the
+pairs a document is what has one doc_id (all rows with a null id count as one, their texts
+together); ``clean`` looks at each doc_id and text on its own, so that rows which share an id, or
+have none, stay or go by what they hold themselves.
 """
 
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -41,12 +44,12 @@ def _shingles(words, i, width: int):
     return F.xxhash64(*parts), F.xxhash64(F.lit(width), *parts)
 
 
-def doc_shingles(docs: DataFrame, width: int) -> DataFrame:
-    """doc_id, h, h2 for each shingle of each document: one generated row per word, in codegen."""
-    w = docs.select("doc_id", common.words(common.ascii_lower(F.col("text"))).alias("__w")).where(F.size("__w") >= width)
-    e = w.select("doc_id", "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - width)).alias("__i"))
+def doc_shingles(docs: DataFrame, width: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """The keys, h, h2 for each shingle of each document: one generated row per word, in codegen."""
+    w = docs.select(*keys, common.words(common.ascii_lower(F.col("text"))).alias("__w")).where(F.size("__w") >= width)
+    e = w.select(*keys, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - width)).alias("__i"))
     h, h2 = _shingles(F.col("__w"), F.col("__i"), width)
-    return e.select("doc_id", h.alias("h"), h2.alias("h2"))
+    return e.select(*keys, h.alias("h"), h2.alias("h2"))
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
@@ -63,15 +66,21 @@ def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
     return sets.select("item_id", "width", F.size("s").cast("long").alias("n"), F.posexplode("s").alias("rank", "x")).select("item_id", "width", "n", "rank", "x.h", "x.h2")
 
 
-def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold_pct: int = THRESHOLD_PCT, miss: float = MISS) -> DataFrame:
-    """doc_id, item_id, n_item (shingles of the item), n_shared: one row per leaked item and document."""
+def _among(docs: DataFrame, found: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
+    """A semi or anti join on the keys, of which null is a value."""
+    other = found.select(*[F.col(c).alias(f"__of_{c}") for c in keys]).distinct()
+    return docs.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]), how)
+
+
+def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold_pct: int = THRESHOLD_PCT, miss: float = MISS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
+    """doc_id (or the keys), item_id, n_item (shingles of the item), n_shared: one row per leaked item and document."""
     spark = docs.sparkSession
-    docs = docs.select("doc_id", "text")
+    docs = docs.select(*keys, "text")
     table = common.materialize(item_shingles(items.select("item_id", "text"), width), "items")
     k = minima(threshold_pct, miss)
     found = table.groupBy("width").count().collect()  # at most `width` rows
     if not found:
-        return table.select(F.lit(None).cast(docs.schema["doc_id"].dataType).alias("doc_id"), "item_id", F.col("n").alias("n_item"), F.col("n").alias("n_shared")).limit(0)
+        return table.select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keys], "item_id", F.col("n").alias("n_item"), F.col("n").alias("n_shared")).limit(0)
     small = sum(r["count"] for r in found) <= BROADCAST_ROWS
     near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
     # search: which documents hold one of an item's minima
@@ -79,25 +88,26 @@ def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold_pct:
     hit = None
     for r in sorted(r["width"] for r in found):
         own = probes.where(F.col("width") == r)
-        d = doc_shingles(docs, r).join(near(own.select("h", "h2", "item_id")), ["h", "h2"]).select("doc_id", "item_id", F.lit(r).alias("width"))
+        d = doc_shingles(docs, r, keys).join(near(own.select("h", "h2", "item_id")), ["h", "h2"]).select(*keys, "item_id", F.lit(r).alias("width"))
         hit = d if hit is None else hit.unionByName(d)
     candidates = common.materialize(hit.distinct(), "candidates")
     # verification on the full sets, of the candidate documents only
-    ids = candidates.select(F.col("doc_id").alias("__d")).distinct()
-    again = docs.join(ids, F.col("doc_id").eqNullSafe(F.col("__d")), "left_semi")
+    again = _among(docs, candidates, keys, "left_semi")
     exact = None
     for r in sorted(r["width"] for r in found):
         own = table.where(F.col("width") == r).select("h", "h2", "item_id", F.col("n").alias("n_item"))
-        d = doc_shingles(again, r).join(near(own), ["h", "h2"]).select("doc_id", "item_id", "n_item", "h", "h2")
+        d = doc_shingles(again, r, keys).join(near(own), ["h", "h2"]).select(*keys, "item_id", "n_item", "h", "h2")
         exact = d if exact is None else exact.unionByName(d)
-    shared = exact.distinct().groupBy("doc_id", "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
+    shared = exact.distinct().groupBy(*keys, "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * threshold_pct)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; all columns of docs."""
-    bad = leaks(docs, items, **options).select(F.col("doc_id").alias("__bad")).distinct()
-    return docs.join(bad, F.col("doc_id").eqNullSafe(F.col("__bad")), "left_anti")
+    # two hashes: as good as the text itself
+    keyed = docs.withColumns({"__h": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(WIDTH), "text")})
+    keys = ("doc_id", "__h", "__h2")
+    return _among(keyed, leaks(keyed, items, keys=keys, **options), keys, "left_anti").drop("__h", "__h2")
 
 
 def query(spark, sf_dir: str) -> DataFrame:

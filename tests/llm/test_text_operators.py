@@ -313,3 +313,17 @@ def test_classifier(spark):
     assert all(r.score == 0.5 for r in classifier.classify(docs, labels.limit(0)).collect())
     kept = classifier.accept(docs, labels)
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
+
+
+def test_decontamination_keeps_clean_rows_of_a_shared_id(spark):
+    from quadrille.llm import decontaminate
+
+    item = " ".join(f"w{i}" for i in range(24))
+    halves = [" ".join(f"w{i}" for i in range(14)), " ".join(f"w{i}" for i in range(10, 24))]
+    data = [(None, f"a b {item} c d"), (None, "clean words of a row without any id"), (None, None), (7, item), (7, "other clean words under the same id"), *((None, h) for h in halves), *((8, h) for h in halves)]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    items = spark.createDataFrame([("q", item)], "item_id string, text string")
+    want = [r for r in data if item not in (r[1] or "")]
+    got = [tuple(r) for r in decontaminate.clean(docs, items).collect()]
+    assert sorted(got, key=str) == sorted(want, key=str)
+    assert sorted(tuple(r) for r in decontaminate.clean(docs, items.limit(0)).fillna("").fillna(-1).collect()) == sorted((-1 if a is None else a, b or "") for a, b in data)
