@@ -2,7 +2,12 @@
 
 A page becomes a flat list of text blocks, cut at block-level tags.  A block's features are its
 word count and link density, those of its neighbours, and what encloses it (landmark elements,
-and words in class, id or role).  A decision tree, grown here on the small labelled table below,
+and words in class, id or role).  Such a word makes an element chrome with all inside it, but for
+two cases: an article or main element ends the chrome of wrappers that only their class or id
+names so, and an element that holds most of the page's words is not chrome for a part of a
+compound (has-sidebar, tag-news), nor an article or main element for any class.  For an article
+both hold only where it has most of the page's words, as comments and teasers are often articles.
+A decision tree, grown here on the small labelled table below,
 says which blocks are main text.
 
 Elements that hold no text of the page (scripts, styles, templates, form controls, comments of the
@@ -45,14 +50,26 @@ class Block:
         self.text, self.words, self.linked, self.chrome, self.main, self.article, self.heading = text, words, linked, chrome, main, article, heading
 
 
+class Mark:
+    """An element that says something of the text in it: chrome (certain: by element or role; plain: a whole class word), main text."""
+
+    __slots__ = ("name", "chrome", "certain", "plain", "main", "most")
+
+    def __init__(self, name, chrome, certain, plain, main):
+        self.name, self.chrome, self.certain, self.plain, self.main, self.most = name, chrome, certain, plain, main, False
+
+
 _P_CLOSERS = _BLOCK - {"html", "body"}
 
 
 def blocks(page: str | None) -> list[Block]:
     out: list[Block] = []
     page = page or ""
-    stack: list[tuple[str, int, int, int]] = []  # name, chrome, main, article
-    flags = [0, 0, 0]
+    stack: list[tuple[str, int, bool, int]] = []  # name, chrome, marked, article
+    marks: list[Mark] = []  # all elements that say something of chrome or main text
+    path: list[int] = []  # those that are open
+    paths: list[tuple[int, ...]] = []  # of each block
+    articles = 0
     parts: list[str] = []
     linked: list[str] = []
     skip, link, heading = 0, 0, 0
@@ -63,17 +80,18 @@ def blocks(page: str | None) -> list[Block]:
             if text:
                 words = text.count(" ") + 1
                 share = len(_html.unescape(" ".join(linked)).split()) / words if linked else 0.0
-                out.append(Block(text, words, min(share, 1.0), flags[0] > 0, flags[1] > 0, flags[2] > 0, heading > 0))
+                out.append(Block(text, words, min(share, 1.0), False, False, articles > 0, heading > 0))
+                paths.append(tuple(path))
             parts.clear()
             linked.clear()
 
     def pop(to: int):
-        nonlocal skip, link, heading
+        nonlocal skip, link, heading, articles
         while len(stack) > to:
-            name, c, m, a = stack.pop()
-            flags[0] -= c
-            flags[1] -= m
-            flags[2] -= a
+            name, c, marked, a = stack.pop()
+            if marked:
+                path.pop()
+            articles -= a
             skip -= name in _SKIP or c == 2
             link -= name == "a"
             heading -= name in ("h1", "h2", "h3", "h4", "h5", "h6")
@@ -129,6 +147,7 @@ def blocks(page: str | None) -> list[Block]:
                     pop(k)
                     break
         chrome = main = 0
+        certain = plain = False
         if m[3].strip():
             hidden = False
             for x in _ATTRIBUTE.finditer(m[3]):
@@ -137,27 +156,54 @@ def blocks(page: str | None) -> list[Block]:
                 if key == "hidden" or key == "aria-hidden" and value == "true" or key == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value):
                     hidden = True
                 elif key in ("class", "id", "role", "itemprop") and name not in ("body", "html"):
-                    chrome |= bool(_CHROME.search(value))
+                    if _CHROME.search(value):
+                        chrome = 1
+                        certain |= key == "role"
+                        plain |= any(_CHROME.fullmatch(w) for w in value.split())
                     main |= bool(_MAIN.search(value))
             if hidden:
                 chrome = 2
         inside = any(x[0] == "article" for x in stack)
         if name in _LANDMARK and not (name == "header" and inside):
-            chrome = max(chrome, 1)
+            chrome, certain = max(chrome, 1), True
         if chrome == 1 and main and name in ("article", "main"):
             chrome = 0
         article = int(name in ("article", "main"))
-        stack.append((name, chrome, int(main and not chrome), article))
-        flags[0] += chrome
-        flags[1] += int(main and not chrome)
-        flags[2] += article
+        marked = bool(chrome or main or article)
+        if marked:
+            path.append(len(marks))
+            marks.append(Mark(name, chrome > 0, certain, plain, bool(main)))
+        stack.append((name, chrome, marked, article))
+        articles += article
         skip += name in _SKIP or chrome == 2
         link += name == "a"
         heading += name in ("h1", "h2", "h3", "h4", "h5", "h6")
     flush()
+    settle(out, paths, marks)
     return out
 
 
+def settle(found: list[Block], paths: list[tuple[int, ...]], marks: list[Mark]) -> None:
+    """Sets chrome and main of the blocks, now that it is known how much text each element holds."""
+    held, total = [0] * len(marks), sum(b.words for b in found)
+    for b, path in zip(found, paths):
+        for k in path:
+            held[k] += b.words
+    for m, words in zip(marks, held):
+        m.most = 2 * words > total
+        if m.chrome and not m.certain and m.most and (m.name in ("article", "main") or not m.plain):
+            m.chrome = False
+    for b, path in zip(found, paths):
+        certain = likely = False
+        for m in (marks[k] for k in path):
+            if not m.chrome and (m.name == "main" or m.name == "article" and m.most):
+                likely = False
+            certain |= m.chrome and m.certain
+            likely |= m.chrome
+            b.main |= m.main and not m.chrome
+        b.chrome = certain or likely
+
+
 def block_features(found: list[Block]) -> np.ndarray:
     n = len(found)
     x = np.zeros((n, len(FEATURES)))

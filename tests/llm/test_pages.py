@@ -41,3 +41,18 @@ def test_main_text(spark):
     pages = spark.createDataFrame([(1, "u", page, 0), (1, "u", page, 0), (2, None, None, 0)], PAGE)
     got = sorted((r.page_id, r.n_chars, len(r.text)) for r in html_text.extract(pages).collect())
     assert [g[0] for g in got] == [1, 1, 2] and all(a == b for _, a, b in got) and html_text.extract(pages.limit(0)).count() == 0
+
+
+def test_layout_words_do_not_make_the_article_chrome():
+    from quadrille.llm import html_text
+
+    tree = html_text.train()
+    body = "<p>" + "long running words of the story " * 12 + "</p><p>" + "and some more of it here " * 12 + "</p>"
+    want = "\n".join([("long running words of the story " * 12).strip(), ("and some more of it here " * 12).strip()])
+    menu, foot = "<nav><a href=x>Home</a></nav>", "<div class='comments'><article class='comment'><p>I do not agree with any of this at all</p></article></div><footer>Imprint</footer>"
+    for start, end in (("<div class='layout has-sidebar'>", "</div>"), ("<div class='post tag-news'>", "</div>"), ("<article class='review'>", "</article>"), ("<div class='widget'><article>", "</article></div>"), ("<div class='search'><main>", "</main></div>")):
+        below = foot if "<article" in start else foot.replace("article", "div")
+        assert html_text.main_text(f"<body>{menu}{start}{body}{end}{below}</body>", tree) == want, start
+    # chrome by element or role stays, and so do plain words on what is no article
+    for start, end in (("<aside><article>", "</article></aside>"), ("<div role='complementary'><article>", "</article></div>"), ("<div class='sidebar'>", "</div>")):
+        assert html_text.main_text(f"<body>{start}{body}{end}</body>", tree) == "", start
