@@ -126,6 +126,7 @@ def scorer(model: Discriminant):
 
 def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
     """Only labelled documents are read into statistics here."""
+    common.small_batches(docs.sparkSession)
     known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__d")).distinct()
     rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT).join(known, F.col("doc_id") == F.col("__d"), "left_semi")
     return fit(rows.select("doc_id", _statistics("text").alias("x")), labels)
@@ -133,6 +134,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
 
 def classify(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted for each row of docs."""
+    common.small_batches(docs.sparkSession)
     stats = common.materialize(docs.select("doc_id", _statistics("text").alias("x")), "doc-stats")
     score = scorer(fit(stats, labels))
     out = stats.select("doc_id", F.coalesce(fold(F.col("doc_id")) == HELD_OUT, F.lit(False)).alias("held_out"), score("x").alias("score"))

@@ -36,6 +36,22 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Arrow batches of Spark's default size hold 64 MB of text, several times over in a worker.
+_BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": (64 << 20, 4 << 20), "spark.sql.execution.arrow.maxRecordsPerBatch": (10_000, 2_000)}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Bounds Arrow batches to 4 MB and 2,000 rows for the session, unless it has bounds of its own."""
+    for key, (default, bound) in _BATCH.items():
+        if int(spark.conf.get(key).rstrip("b")) == default:
+            spark.conf.set(key, bound)
+
+
+def carried(docs: DataFrame, **fields: Column) -> DataFrame:
+    """The columns of docs as one struct ``row`` beside the fields, so that no name of the caller's can clash."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), *[c.alias(n) for n, c in fields.items()])
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share; made here only where none is configured."""
     root = spark.conf.get("spark.checkpoint.dir", None)

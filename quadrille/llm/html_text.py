@@ -307,6 +307,7 @@ def main_text(page: str | None, tree) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars for each row of pages (page_id, url, html)."""
+    common.small_batches(pages.sparkSession)
     tree = train()
     kinds = pages.schema
 

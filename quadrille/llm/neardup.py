@@ -170,6 +170,7 @@ def _consensus(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
 def link(docs: DataFrame, width: int, pct: int = SIMILARITY_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     docs = docs.select("doc_id", "text")
     sigs = common.materialize(_signatures(docs, width), "signatures")
     classes = sigs.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))

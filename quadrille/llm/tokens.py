@@ -10,9 +10,10 @@ offset inside the shard, control bytes, data bytes), range-partitioned and sorte
 run again replaces its shard.  A document's start among all ids is the total of the shards before
 its own plus its offset.
 
-Encoding is memoised by blank-separated word, and new words by piece: the tokenizer drops white space, so
-a text's ids are those of its words in order.  Texts for which that could differ (not in normal form C, or with
-letters whose lower case depends on their neighbours) are encoded whole.
+Where the tokenizer's file states the splitting rule of ``_SPLIT``, encoding is memoised by piece: white space is
+dropped, so a text's ids are those of its pieces in order.  Texts for which that could differ (letters that combine
+or whose lower case depends on their neighbours, rare scripts, a special token's own text) and all texts of other
+tokenizers are encoded whole by the library.
 
 Defined results: null and empty texts are the end id alone; null doc_id sorts first; rows that
 share a doc_id are ordered by a hash of the text; an empty table gives no rows.
@@ -20,8 +21,7 @@ share a doc_id are ordered by a hash of the text; an empty table gives no rows.
 
 from __future__ import annotations
 
-import itertools
-import re
+import json
 import unicodedata
 import zlib
 
@@ -32,17 +32,36 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
+from .shingles import mix, powers
 
 END_ID = 1
-#: Bounds of the memo: beyond the first, all but the words learned first are forgotten.
-CACHE_WORDS, KEPT_WORDS = 600_000, 400_000
-SLICE = 500
+#: Bounds of the memo: beyond the first, all but the pieces learned first are forgotten.
+CACHE_PIECES, KEPT_PIECES, SLOTS = 600_000, 400_000, 1 << 21
+#: Longer pieces are not memoised: their texts go through the tokenizer whole.
+LONGEST_PIECE = 64
+#: Rows that become one slice, and characters that go through the encoder at once.
+SLICE, CHUNK_CHARS = 500, 400_000
+
+#: The normaliser and the pre-tokenizer, as the tokenizer's own file states them, for which a text's
+#: ids are those of its pieces one after another.  Any other tokenizer encodes whole texts itself.
+_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+
+_BLANK, _LETTER, _NUMBER, _SIGN, _OTHER = range(5)
+
+
+def _kinds() -> np.ndarray:
+    """Kind of each code point of the scripts without combining marks; the last entry is for all others."""
+    out = np.full(0x531, _OTHER, np.uint8)
+    for c in (*range(0x300), *range(0x400, 0x530)):
+        out[c] = {"L": _LETTER, "N": _NUMBER, "P": _SIGN, "S": _SIGN}.get(unicodedata.category(chr(c))[0], _OTHER)
+    out[[9, 10, 11, 12, 13, 32]] = _BLANK
+    return out
 
 
-#: The tokenizer's own split, for the letters of _PLAIN_WORD.
-_PIECES = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^\sa-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
-_POINTS = {".", ",", "!", "?", ":", ";"}
-_PLAIN_WORD = re.compile(r"[!-@\[-~\u00df-\u00f6\u00f8-\u00ff]+")
+_KIND = _kinds()
+_VALUE = np.random.default_rng(49).integers(1, 2**63, len(_KIND), dtype=np.uint64)
 
 
 def _byte_signs() -> dict[int, int]:
@@ -61,98 +80,148 @@ def default_tokenizer() -> str:
     return public_tokenizers.path("word_bpe_49k.json")
 
 
+def pieces(code: np.ndarray, kind: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of the pieces: runs of letters, single numbers, runs of signs, and the endings 's 't 're 've 'm 'll 'd."""
+    n = len(code)
+    start = (kind != _BLANK) & ((kind != np.concatenate(([_BLANK], kind[:-1]))) | (kind == _NUMBER))
+    at = np.flatnonzero(start & (code == ord("'")))
+    if len(at):
+        near = np.concatenate((code, np.zeros(3, code.dtype)))
+        one, two = near[at + 1], near[at + 2]
+        short = np.isin(one, [ord(c) for c in "stmd"])
+        long = ((one == ord("r")) | (one == ord("v"))) & (two == ord("e")) | (one == ord("l")) & (two == ord("l"))
+        at, size = at[short | long], np.where(short, 1, 2)[short | long]
+        start[at + 1] = False
+        after = at + 1 + size
+        inside = after[after < n]
+        start[inside] |= kind[inside] == _LETTER
+    edge = np.flatnonzero(start | (kind == _BLANK))
+    real = start[edge]
+    return edge[real], np.append(edge[1:], n)[real]
+
+
 class Encoder:
-    """Ids of texts, exactly those of the tokenizer without special tokens."""
+    """Ids of texts, exactly those of the tokenizer without special tokens.
+
+    Pieces are looked up by a 64-bit hash in an open table of numpy arrays; only pieces that are new go to the
+    model.  Texts with code points outside the table of kinds or with very long pieces are encoded whole.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
-        self.clear()
-
-    def clear(self) -> None:
-        self.index: dict[str, int] = {}
+        with open(path, encoding="utf-8") as f:
+            said = json.load(f)
+        self.by_piece = said["normalizer"] == _NORMALIZER and said["pre_tokenizer"] == {"type": "Sequence", "pretokenizers": [_SPLIT, _BYTES]} and not said["model"].get("dropout")
+        del said
+        #: An added token's own text is one id wherever it stands.
+        self.special = tuple(t.content.lower() for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.key = np.zeros(SLOTS, np.uint64)
+        self.slot = np.zeros(SLOTS, np.int32)
+        self.hash = np.zeros(1 << 16, np.uint64)
         self.start = np.zeros(1 << 16, np.int64)
         self.count = np.zeros(1 << 16, np.int64)
         self.flat = np.zeros(1 << 18, np.uint32)
-        self.used = 0
+        self.known = self.used = 0
+
+    def _place(self, h: np.ndarray, which: np.ndarray) -> None:
+        """Puts different new keys into the table; of those that want one slot, one gets it and the others go on."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        while len(h):
+            free = np.flatnonzero(self.key[at] == 0)
+            _, first = np.unique(at[free], return_index=True)
+            won = free[first]
+            self.key[at[won]], self.slot[at[won]] = h[won], which[won]
+            rest = np.ones(len(h), bool)
+            rest[won] = False
+            h, which, at = h[rest], which[rest], (at[rest] + 1) & (SLOTS - 1)
+
+    def _find(self, h: np.ndarray) -> np.ndarray:
+        """The entry of each key, -1 for unknown ones."""
+        at = (h & np.uint64(SLOTS - 1)).astype(np.int64)
+        found = self.key[at]
+        out = np.where(found == h, self.slot[at], np.int32(-1))
+        open_ = np.flatnonzero((found != h) & (found != 0))
+        while len(open_):
+            at[open_] = (at[open_] + 1) & (SLOTS - 1)
+            found = self.key[at[open_]]
+            hit = found == h[open_]
+            out[open_[hit]] = self.slot[at[open_[hit]]]
+            open_ = open_[~hit & (found != 0)]
+        return out
 
     def _shrink(self) -> None:
-        """Forgets all but the words that came first: those are the frequent ones."""
-        self.index = dict(itertools.islice(self.index.items(), KEPT_WORDS))
-        self.used = int(self.start[KEPT_WORDS])
-
-    def _plain(self, text: str) -> np.ndarray:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
+        """Forgets all but the pieces that came first: those are the frequent ones."""
+        self.known, self.used = KEPT_PIECES, int(self.start[KEPT_PIECES])
+        self.key[:] = 0
+        self._place(self.hash[: self.known], np.arange(self.known, dtype=np.int32))
 
-    def _add(self, words: list[str], ids: np.ndarray, counts: np.ndarray) -> None:
-        n, m = len(self.index), len(ids)
-        while n + len(words) > len(self.start):
-            self.start, self.count = np.resize(self.start, 2 * len(self.start)), np.resize(self.count, 2 * len(self.count))
-        while self.used + m > len(self.flat):
-            self.flat = np.resize(self.flat, 2 * len(self.flat))
-        self.start[n : n + len(words)] = self.used + np.cumsum(counts) - counts
-        self.count[n : n + len(words)] = counts
-        self.flat[self.used : self.used + m] = ids
-        self.used += m
-        self.index.update(zip(words, range(n, n + len(words))))
-
-    def _piece(self, piece: str) -> list[int]:
-        i = self.index.get(piece)
-        if i is not None:
-            at = self.start[i]
-            return self.flat[at : at + self.count[i]].tolist()
-        return [t.id for t in self.model.tokenize(piece.encode().decode("latin-1").translate(_BYTE_SIGNS))]
-
-    def _learn(self, new: list[str]) -> None:
-        """Words of letters, and plain ones, go through the model piece by piece, others through the whole tokenizer."""
+    def _learn(self, new: list[str], h: np.ndarray) -> None:
         ids: list[int] = []
         counts = []
         for w in new:
             before = len(ids)
-            if w.isalpha():
-                ids += self._piece(w)
-            elif w[-1:] in _POINTS and w[:-1].isalpha():
-                ids += self._piece(w[:-1])
-                ids += self._piece(w[-1])
-            elif _PLAIN_WORD.fullmatch(w):
-                for piece in _PIECES.findall(w):
-                    ids += self._piece(piece)
-            elif w:
-                ids += self._plain(w).tolist()
+            signs = w if w.isascii() else w.encode().decode("latin-1").translate(_BYTE_SIGNS)
+            ids += [t.id for t in self.model.tokenize(signs)]
             counts.append(len(ids) - before)
-        self._add(new, np.array(ids, np.uint32), np.array(counts, np.int64))
+        n, m, c = self.known, len(ids), np.array(counts, np.int64)
+        while n + len(new) > len(self.start):
+            self.hash, self.start, self.count = (np.resize(x, 2 * len(x)) for x in (self.hash, self.start, self.count))
+        while self.used + m > len(self.flat):
+            self.flat = np.resize(self.flat, 2 * len(self.flat))
+        self.hash[n : n + len(new)] = h
+        self.start[n : n + len(new)] = self.used + np.cumsum(c) - c
+        self.count[n : n + len(new)] = c
+        self.flat[self.used : self.used + m] = ids
+        self._place(h, np.arange(n, n + len(new), dtype=np.int32))
+        self.known, self.used = n + len(new), self.used + m
+
+    def _whole(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
     def encode_many(self, texts) -> list[np.ndarray]:
-        out: list = [None] * len(texts)
-        words: list[str] = []
-        ends, whose = [], []
-        for i, t in enumerate(texts):
-            if not t:
-                out[i] = np.zeros(0, np.uint32)
-            elif not unicodedata.is_normalized("NFC", t) or "Σ" in t or "İ" in t:
-                out[i] = self._plain(t)
-            else:
-                words += t.lower().replace("\n", " ").split(" ")
-                ends.append(len(words))
-                whose.append(i)
-        if not words:
-            return out
-        if len(self.index) > CACHE_WORDS:
+        texts = [t or "" for t in texts]
+        if not self.by_piece:
+            return [self._whole(t) for t in texts]
+        low = [t.lower() for t in texts]
+        joined = "\n".join(low)
+        code = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), "<u4")
+        code = np.minimum(code, len(_KIND) - 1)
+        kind = _KIND[code]
+        first = np.cumsum([0] + [len(x) + 1 for x in low])
+        other = np.zeros(len(texts), bool)
+        other[np.searchsorted(first, np.flatnonzero(kind == _OTHER), "right") - 1] = True
+        if "<|" in joined:
+            other |= np.array([any(s in x for s in self.special) for x in low], bool)
+        while True:
+            for i in np.flatnonzero(other):
+                kind[first[i] : first[i + 1] - 1] = _BLANK
+            start, end = pieces(code, kind)
+            long = start[end - start > LONGEST_PIECE]
+            if not len(long):
+                break
+            other[np.searchsorted(first, long, "right") - 1] = True
+        if self.known > CACHE_PIECES:
             self._shrink()
-        at = list(map(self.index.get, words))
-        if None in at:
-            self._learn(list(dict.fromkeys(w for w, i in zip(words, at) if i is None)))
-            at = list(map(self.index.__getitem__, words))
-        at = np.array(at, np.int64)
+        power, inverse = powers(len(code) + 1)
+        total = np.zeros(len(code) + 1, np.uint64)
+        np.cumsum(_VALUE[code] * power[: len(code)], out=total[1:])
+        h = mix((total[end] - total[start]) * inverse[start] + (end - start).astype(np.uint64)) | np.uint64(1)
+        at = self._find(h)
+        new = np.flatnonzero(at < 0)
+        if len(new):
+            keys, where = np.unique(h[new], return_index=True)
+            order = np.argsort(where)  # as they come in the text: the first are the frequent ones
+            where = new[where[order]]
+            self._learn([joined[a:b] for a, b in zip(start[where].tolist(), end[where].tolist())], keys[order])
+            at[new] = self._find(h[new])
         count = self.count[at]
         stop = np.cumsum(count)
-        ids = self.flat[np.repeat(self.start[at] - (stop - count), count) + np.arange(stop[-1])]
-        cuts = stop[np.array(ends) - 1]
-        for i, x in zip(whose, np.split(ids, cuts[:-1])):
-            out[i] = x
-        return out
+        ids = self.flat[np.repeat(self.start[at] - (stop - count), count) + np.arange(stop[-1] if len(stop) else 0)]
+        cuts = np.concatenate(([0], stop))[np.searchsorted(start, first)]
+        return [self._whole(t) if o else ids[a:b] for t, o, a, b in zip(texts, other, cuts[:-1], cuts[1:])]
 
     def encode(self, text: str | None) -> np.ndarray:
         return self.encode_many([text])[0]
@@ -196,12 +265,12 @@ def unpack(control: bytes, data: bytes, n: int) -> np.ndarray:
 
 
 def _in_chunks(enc: Encoder, texts: list):
-    """(text, ids) in order; texts of about 200,000 characters go through the encoder at once."""
+    """(text, ids) in order; texts of about CHUNK_CHARS characters go through the encoder at once."""
     part, size = [], 0
     for t in texts:
         part.append(t)
         size += len(t or "")
-        if size > 200_000:
+        if size > CHUNK_CHARS:
             yield from zip(part, enc.encode_many(part))
             part, size = [], 0
     if part:
@@ -223,6 +292,7 @@ def _squeeze(ids: np.ndarray) -> bytes:
 def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int = END_ID) -> str:
     """Writes the ids of all rows of docs (doc_id, text) to ``path`` and returns it."""
     spark = docs.sparkSession
+    common.small_batches(spark)
     tokenizer = tokenizer or default_tokenizer()
     kind = docs.schema["doc_id"].dataType.simpleString()
 
@@ -292,6 +362,7 @@ def write(docs: DataFrame, path: str, tokenizer: str | None = None, end_id: int
 
 def load(spark, path: str, with_ids: bool = True) -> DataFrame:
     """doc_id, start, n_tokens, ids_crc32 and ids (little-endian 32-bit numbers) from the files of ``write``."""
+    common.small_batches(spark)
     shards = spark.read.parquet(f"{path}/shards")
     pairs = spark.read.parquet(f"{path}/ranks").select("id", "rank").toPandas().to_numpy(np.int64)
     table = np.zeros(len(pairs) or 1, np.uint32)
