@@ -11,9 +11,9 @@ index is built over the text of one task, so what can match comes to one task fi
    that share hash and context are fully repeated: their whole context is marked.
 3. Index.  Where a repeated anchor has several contexts, one of each goes to the anchor's task.
    Contexts of one document that overlap are joined there, so every byte of a document is in an
-   index once, and a match with another place is a repeat.  Anchors with more than ``HOT``
-   different contexts, which no task should hold, take the same comparison as rows of an aggregate
-   of rolled hashes instead.
+   index once, and a match with another place is a repeat.  The contexts of an anchor with more than
+   ``HOT`` of them, which no task should hold, are split by the bytes that their strings share
+   (``_split``) until every group fits a task; each group goes through an index like any other.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts under 400 bytes
 keep all; rows repeated in full are copies of each other; null doc_id is a document like any other.
@@ -22,6 +22,7 @@ keep all; rows repeated in full are copies of each other; null doc_id is a docum
 from __future__ import annotations
 
 import hashlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .runlength import RunLengthIndex
 from .shingles import _BYTE, CHUNK, mix, powers
 
 SPAN = 400
-HOT = 20_000
+HOT = 4_000
 _U = np.uint64
 
 
@@ -91,18 +92,18 @@ def _anchor_rows(docs: DataFrame, span: int) -> DataFrame:
 
 
 def _contexts(docs: DataFrame, span: int) -> DataFrame:
-    """docs: doc_id, th, text, at (array of pos, h, m, hot).  The bytes around each anchor."""
+    """docs: doc_id, th, text, at (array of pos, h).  The bytes around each anchor."""
     k = span // 2
 
     def run(batches):
         for batch in batches:
-            out = {n: [] for n in ("h", "doc_id", "th", "pos", "m", "hot", "left", "ctx")}
+            out = {n: [] for n in ("h", "doc_id", "th", "pos", "left", "ctx")}
             ids, ths = batch.column("doc_id").to_pylist(), batch.column("th").to_pylist()
             for i, places in enumerate(batch.column("at").to_pylist()):
                 t = batch.column("text")[i].as_buffer().to_pybytes()
                 for x in places:
                     s = max(x["pos"] - (span - k), 0)
-                    for n, v in zip(out, (x["h"], ids[i], ths[i], x["pos"], x["m"], x["hot"], x["pos"] - s, t[s : x["pos"] + span])):
+                    for n, v in zip(out, (x["h"], ids[i], ths[i], x["pos"], x["pos"] - s, t[s : x["pos"] + span])):
                         out[n].append(v)
                 if len(out["h"]) >= 5000:
                     yield pa.RecordBatch.from_pydict(out, schema)
@@ -110,9 +111,9 @@ def _contexts(docs: DataFrame, span: int) -> DataFrame:
             if out["h"]:
                 yield pa.RecordBatch.from_pydict(out, schema)
 
-    schema = pa.schema([("h", pa.int64()), ("doc_id", _arrow(docs)), ("th", pa.int64()), ("pos", pa.int32()), ("m", pa.int64()), ("hot", pa.bool_()), ("left", pa.int32()), ("ctx", pa.binary())])
+    schema = pa.schema([("h", pa.int64()), ("doc_id", _arrow(docs)), ("th", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("ctx", pa.binary())])
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"h long, doc_id {kind}, th long, pos int, m long, hot boolean, left int, ctx binary")
+    return docs.mapInArrow(run, f"h long, doc_id {kind}, th long, pos int, left int, ctx binary")
 
 
 def _arrow(df: DataFrame):
@@ -121,28 +122,6 @@ def _arrow(df: DataFrame):
     return to_arrow_type(df.schema["doc_id"].dataType)
 
 
-def _rolled(h: np.ndarray, left: np.ndarray, ctx: list[bytes], span: int):
-    """For each shift a: (a, keys of the strings that start at the anchor's place - (span - k) + a, valid)."""
-    k = span // 2
-    reach = span - k
-    n = len(h)
-    grid = np.zeros((n, reach + span), np.uint8)
-    have = np.zeros(n, np.int64)
-    for i, x in enumerate(ctx):
-        have[i] = reach - left[i] + len(x)
-        grid[i, reach - left[i] : have[i]] = np.frombuffer(x, np.uint8)
-    p, inverse = powers(span + 1)
-    value = _BYTE[np.ascontiguousarray(grid.T)]
-    now = np.zeros(n, np.uint64)
-    for j in range(span):
-        now += value[j] * p[j]
-    salt = mix(h.view(np.uint64))
-    for a in range(reach + 1):
-        yield a, mix(now + salt + _U(a * 0xA0761D6478BD642F % 2**64)), (a >= reach - left) & (a + span <= have)
-        if a < reach:
-            now = (now - value[a]) * inverse[1] + value[a + span] * p[span - 1]
-
-
 def _segments(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
     """(text, row, place) of the stretches of documents that the contexts cover; those that overlap are joined."""
     codes = t.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
@@ -166,7 +145,7 @@ def _segments(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
 
 
 def _fine(contexts: DataFrame, span: int) -> DataFrame:
-    """contexts sorted by h inside each partition -> doc_id, th, start, stop."""
+    """contexts sorted by their group g inside each partition -> doc_id, th, start, stop."""
     schema = pa.schema([("doc_id", _arrow(contexts)), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
 
     def marks(t: pa.Table):
@@ -183,8 +162,8 @@ def _fine(contexts: DataFrame, span: int) -> DataFrame:
             held = t if held is None else pa.concat_tables([held, t])
             if held.num_rows < 4000:
                 continue
-            h = held.column("h").to_numpy()
-            cut = int(np.searchsorted(h, h[-1], side="left"))  # the last anchor may go on
+            g = held.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1], side="left"))  # the last group may go on
             if cut:
                 yield marks(held.slice(0, cut))
                 held = held.slice(cut)
@@ -194,53 +173,60 @@ def _fine(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.mapInArrow(run, f"doc_id {contexts.schema['doc_id'].dataType.simpleString()}, th long, start int, stop int")
 
 
-def _fine_rows(contexts: DataFrame, span: int) -> DataFrame:
-    """The same comparison for anchors with very many contexts: a row per string, counted by an aggregate."""
-    reach = span - span // 2
-    schema = pa.schema([("key", pa.int64()), ("doc_id", _arrow(contexts)), ("th", pa.int64()), ("start", pa.int32()), ("m", pa.int64())])
-
-    def run(batches):
-        for batch in batches:
-            for i in range(0, batch.num_rows, 500):
-                t = batch.slice(i, 500)
-                h, left, pos, m = (t.column(c).to_numpy(zero_copy_only=False) for c in ("h", "left", "pos", "m"))
-                for a, key, valid in _rolled(h, left, t.column("ctx").to_pylist(), span):
-                    at = np.flatnonzero(valid)
-                    take = pa.array(at)
-                    yield pa.RecordBatch.from_arrays([pa.array(key[at].view(np.int64)), t.column("doc_id").take(take), t.column("th").take(take), pa.array((pos[at] - reach + a).astype(np.int32)), pa.array(m[at])], schema=schema)
+def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame]:
+    """(contexts in groups g of at most hot rows, ranges to remove as doc_id, th, start, stop).
 
-    rows = common.materialize(contexts.mapInArrow(run, f"key long, doc_id {contexts.schema['doc_id'].dataType.simpleString()}, th long, start int, m long"), "strings")
-    twice = rows.groupBy("key").agg(F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    return rows.where("m = 1").join(twice, "key", "left_semi").select("doc_id", "th", "start", (F.col("start") + span).alias("stop"))
+    The strings that hold an anchor differ in how many of their bytes lie left of it: x of span - k.  A
+    group stands for the strings of a range of x, so its members share the bytes that all of these
+    have.  A group that is too large becomes two of half the range each, by what their members share
+    then; one of a single x is a string itself, and repeated if it has two members.
+    """
+    k = span // 2
+    now = contexts.withColumns({"g": F.col("h"), "low": F.lit(0), "high": F.lit(span - k)})
+    small, found = [], []
+    while True:
+        large = common.materialize(now.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("g"), "large")
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, [*small, now]), reduce(DataFrame.unionByName, found) if found else None
+        small.append(now.join(large, "g", "left_anti"))
+        rest = common.materialize(now.join(large, "g", "left_semi"), "split")
+        found.append(rest.where("low = high").select("doc_id", "th", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + span).alias("stop")))
+        mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
+        halves = F.array(F.struct(F.col("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high")))
+        rest = rest.where("low < high").withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half")
+        right = span - k - F.col("high")
+        have = (F.col("left") >= F.col("low")) & (F.octet_length("ctx") - F.col("left") - k >= right)
+        shared = lambda start, n: F.when(n > 0, F.col("ctx").substr(start.cast("int"), n.cast("int"))).otherwise(F.lit(b""))
+        key = F.xxhash64("g", "low", shared(F.col("left") - F.col("low") + 1, F.col("low")), shared(F.col("left") + k + 1, right))
+        now = common.materialize(rest.where(have).withColumn("g", key), "halves")
 
 
 def spans(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     """doc_id, th, start, stop: byte ranges to remove, overlapping, not clipped.  docs: doc_id, text, th."""
     reach = span - span // 2
     found = common.materialize(_anchor_rows(docs, span), "anchors")
+    # counts are written first: a join of two exchanges is one that Spark can split where a key is hot
     groups = found.groupBy("h").agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c1"), F.max("c").alias("c2")).where("n > 1").drop("n")
-    again = common.materialize(found.join(groups, "h"), "repeated")
+    again = common.materialize(found.join(common.materialize(groups, "groups").hint("merge"), "h"), "repeated")
     mixed = again.where("c1 <> c2")
     classes = mixed.groupBy("h", "c").agg(F.count(F.lit(1)).alias("m"), F.min(F.struct("doc_id", "th", "pos")).alias("rep"))
     classes = common.materialize(classes.select("h", "c", "m", "rep.*"), "contexts")
-    whole = again.where("c1 = c2").select("doc_id", "th", "pos").unionByName(mixed.join(classes.where("m > 1").select("h", "c"), ["h", "c"], "left_semi").select("doc_id", "th", "pos"))
+    several = common.materialize(classes.where("m > 1").select("h", "c"), "classes")
+    whole = again.where("c1 = c2").select("doc_id", "th", "pos").unionByName(mixed.join(several.hint("merge"), ["h", "c"], "left_semi").select("doc_id", "th", "pos"))
     whole = whole.select("doc_id", "th", (F.col("pos") - reach).alias("start"), (F.col("pos") + span).alias("stop"))
-    many = classes.groupBy("h").agg((F.count(F.lit(1)) > hot).alias("hot"))
-    places = classes.join(many, "h").groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h", "m", "hot")).alias("at")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "at")
+    places = classes.groupBy("doc_id", "th").agg(F.collect_list(F.struct("pos", "h")).alias("at")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "at")
     needed = docs.join(places.hint("merge"), F.col("doc_id").eqNullSafe(F.col("d2")) & (F.col("th") == F.col("t2"))).select("doc_id", "th", "text", "at")
-    around = common.materialize(_contexts(needed, span), "around")
+    around, ranges = _split(common.materialize(_contexts(needed, span), "around"), span, hot)
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    fine = _fine(around.where(~F.col("hot")).repartition(parts, "h").sortWithinPartitions("h"), span)
-    rest = around.where("hot")
-    if not rest.isEmpty():
-        fine = fine.unionByName(_fine_rows(rest, span))
-    return whole.unionByName(fine)
+    fine = _fine(around.repartition(parts, "g").sortWithinPartitions("g"), span)
+    out = whole.unionByName(fine)
+    return out.unionByName(ranges) if ranges is not None else out
 
 
 def _keep(docs: DataFrame, output: bool) -> DataFrame:
     """docs: doc_id, text, cut (array of start, stop)."""
-    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"] + ["kept"] * output
-    schema = pa.schema(list(zip(names, [_arrow(docs), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary()])))
+    names = ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "n_kept"] + ["kept"] * output
+    schema = pa.schema(list(zip(names, [_arrow(docs), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.binary()])))
 
     def run(batches):
         for batch in batches:
@@ -258,16 +244,17 @@ def _keep(docs: DataFrame, output: bool) -> DataFrame:
                     first, last = a[new], far[np.concatenate((np.flatnonzero(new)[1:] - 1, [len(a) - 1]))]
                     n = len(first)
                     kept = b"".join(t[x:y] for x, y in zip(np.concatenate(([0], last)), np.concatenate((first, [len(t)]))))
-                rows.append((len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), kept))
+                rows.append((len(t), len(t) - len(kept), n, hashlib.sha256(kept).hexdigest(), len(kept), kept))
             columns = [batch.column("doc_id")] + [pa.array([r[j] for r in rows], schema.field(j + 1).type) for j in range(len(names) - 1)]
             yield pa.RecordBatch.from_arrays(columns, schema=schema)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + (", kept binary" if output else ""))
+    return docs.mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string, n_kept long" + (", kept binary" if output else ""))
 
 
 def dedup_substrings(docs: DataFrame, span: int = SPAN, output: bool = True, hot: int = HOT) -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and, with output, kept: one row per row of docs."""
+    """doc_id, n_bytes, n_removed, n_spans, kept_sha256, n_kept and, with output, kept (bytes): one row per row of docs."""
+    common.small_batches(docs.sparkSession)
     text = F.coalesce(F.col("text"), F.lit(""))
     docs = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("th"))
     cut = spans(docs, span, hot).distinct().groupBy("doc_id", "th").agg(F.collect_list(F.struct("start", "stop")).alias("cut")).select(F.col("doc_id").alias("d2"), F.col("th").alias("t2"), "cut")
@@ -276,4 +263,6 @@ def dedup_substrings(docs: DataFrame, span: int = SPAN, output: bool = True, hot
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return dedup_substrings(common.read(spark, sf_dir, "documents"), output=False)
+    """The digests, and what stays of each text: a cut may part a character, whose rest then reads as U+FFFD."""
+    out = dedup_substrings(common.read(spark, sf_dir, "documents"))
+    return out.withColumns({"repeats": F.col("n_removed") > 0, "kept": F.make_valid_utf8(F.col("kept").cast("string"))})

@@ -245,7 +245,7 @@ def brute_spans(texts, span):
     return [(len(b), int(m.sum()), int((np.diff(np.concatenate(([0], m.astype(int)))) == 1).sum()), hashlib.sha256(bytes(np.frombuffer(b, np.uint8)[~m])).hexdigest()) for b, m in zip(raw, mark)]
 
 
-@pytest.mark.parametrize("hot", [10**6, 3])
+@pytest.mark.parametrize("hot", [10**6, 3, 1])
 def test_substring_dedup(spark, hot):
     rng = random.Random(5)
     noise = lambda n: "".join(rng.choice("abcd é") for _ in range(n))
