@@ -10,7 +10,8 @@ totals of the ranges are summed per source.  No task ever holds a whole source.
 
 Defined results: null text has size 0; null source is a source of its own, last in the order;
 an empty table gives an empty result; rows repeated in full are separate rows; null doc_id is
-hashed like the empty string; documents of size 0 take 0 words.
+hashed like the empty string; rows of one doc_id and size are ordered by a hash of the text;
+documents of size 0 take 0 words; columns of any name pass through unchanged.
 """
 
 from __future__ import annotations
@@ -27,68 +28,68 @@ ROWS_PER_RANGE = 20_000
 
 
 def targets(sizes: DataFrame, weights=WEIGHTS, share: float = SHARE, max_epochs: int = MAX_EPOCHS) -> DataFrame:
-    """One row per source: __src, source_size, __rows, target.
+    """One row per source of sizes (src, size): src, source_size, n_rows, target.
 
     Water filling: sources by rising cap per weight; the first ones whose cap lies under the level
     are capped, the rest share what is left by weight.  One row per source goes through the
     ordered window, never the documents.
     """
-    per = sizes.groupBy("__src").agg(F.sum("__size").alias("source_size"), F.count(F.lit(1)).alias("__rows"))
-    by_name = Window.orderBy(F.col("__src").asc_nulls_last())
+    per = sizes.groupBy("src").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_rows"))
+    by_name = Window.orderBy(F.col("src").asc_nulls_last())
     w = F.element_at(F.array(*[F.lit(float(x)) for x in weights]), (F.row_number().over(by_name) - 1) % len(weights) + 1)
-    per = per.withColumn("__w", w).withColumn("__cap", F.col("source_size") * F.lit(float(max_epochs)))
+    per = per.withColumn("w", w).withColumn("cap", F.col("source_size") * F.lit(float(max_epochs)))
     everything = Window.orderBy(F.lit(0)).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    order = Window.orderBy((F.col("__cap") / F.col("__w")).asc(), F.col("__src").asc_nulls_last())
+    order = Window.orderBy((F.col("cap") / F.col("w")).asc(), F.col("src").asc_nulls_last())
     before = order.rowsBetween(Window.unboundedPreceding, -1)
     after = order.rowsBetween(0, Window.unboundedFollowing)
     total = F.sum("source_size").over(everything) * F.lit(share)
-    left = total - F.coalesce(F.sum("__cap").over(before), F.lit(0.0))
-    level = left / F.sum("__w").over(after)
-    per = per.withColumn("__level", level).withColumn("__over", F.col("__cap") / F.col("__w") <= F.col("__level"))
+    left = total - F.coalesce(F.sum("cap").over(before), F.lit(0.0))
+    level = left / F.sum("w").over(after)
+    per = per.withColumn("level", level).withColumn("over", F.col("cap") / F.col("w") <= F.col("level"))
     # the level of the first source that is not capped holds for all that follow
-    free = F.min(F.when(~F.col("__over"), F.struct((F.col("__cap") / F.col("__w")).alias("k"), F.col("__level").alias("v")))).over(everything)
-    target = F.when(F.col("__over"), F.col("__cap")).otherwise(free["v"] * F.col("__w"))
-    return per.select("__src", "source_size", "__rows", target.alias("target"))
+    free = F.min(F.when(~F.col("over"), F.struct((F.col("cap") / F.col("w")).alias("k"), F.col("level").alias("v")))).over(everything)
+    target = F.when(F.col("over"), F.col("cap")).otherwise(free["v"] * F.col("w"))
+    return per.select("src", "source_size", "n_rows", target.alias("target"))
 
 
-def plan_mix(docs: DataFrame, seed: str = "mix", **options) -> DataFrame:
-    """All rows and columns of docs (text, source, doc_id needed), plus
+def plan_mix(docs: DataFrame, seed: str = "mix", keep: list[str] | None = None, **options) -> DataFrame:
+    """One row per row of docs (text, source, doc_id needed): ``row``, a struct of its columns (or of those in keep), and
 
-    __src, size, source_size, target, epochs (whole copies), cut (words of one further, partial
-    copy: only the document at the budget's edge has one) and taken (words in all).  Columns of
-    docs by these names are hidden by the new ones.
+    src, size, source_size, target, epochs (whole copies), cut (words of one further, partial
+    copy: only the document at the budget's edge has one) and taken (words in all).
     """
-    added = ("size", "source_size", "target", "epochs", "cut", "taken")
-    base = docs.drop(*added).withColumns({"__src": F.col("source"), "__size": common.n_words(F.col("text"))})
     key = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    base = base.withColumn("__key", key)
-    per = targets(base.select("__src", "__size"), **options)
+    row = F.struct(*[F.col(f"`{c}`") for c in (keep or docs.columns)]).alias("row")
+    base = docs.select(row, F.col("source").alias("src"), F.col("doc_id").alias("id"), common.n_words(F.col("text")).alias("size"), F.xxhash64("text").alias("tie"), key.alias("key"))
+    if keep and "text" not in keep:
+        base = common.materialize(base, "sizes")
+        slim = base.select("src", "size", "key")
+    else:
+        slim = common.materialize(base.select("src", "size", "key"), "sizes")
+    per = targets(slim, **options)
     per = (
-        per.withColumn("__epochs", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
-        .withColumn("__rest", F.floor("target").cast("long") - F.col("__epochs") * F.col("source_size"))
-        .withColumn("__parts", F.ceil(F.col("__rows") / F.lit(ROWS_PER_RANGE)).cast("long"))
+        per.withColumn("whole", F.when(F.col("source_size") > 0, F.floor(F.floor("target") / F.col("source_size"))).otherwise(F.lit(0)).cast("long"))
+        .withColumn("rest", F.floor("target").cast("long") - F.col("whole") * F.col("source_size"))
+        .withColumn("parts", F.ceil(F.col("n_rows") / F.lit(ROWS_PER_RANGE)).cast("long"))
     )
+    per = common.materialize(per.withColumnRenamed("src", "s2"), "sources")
     # one row per source: joined by hash, replicated only if Spark's own size check allows it
-    part = F.floor(F.conv(F.substring("__key", 1, 8), 16, 10).cast("long") * F.col("__parts") / F.lit(4294967296.0)).cast("long")
-    placed = base.join(per.withColumnRenamed("__src", "__s2"), F.col("__src").eqNullSafe(F.col("__s2"))).drop("__s2").withColumn("__part", part)
-    ranges = placed.groupBy("__src", "__part").agg(F.sum("__size").alias("__sum"))
-    start = F.coalesce(F.sum("__sum").over(Window.partitionBy("__src").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    ranges = ranges.select(F.col("__src").alias("__s2"), F.col("__part").alias("__p2"), start.alias("__start"))
-    inside = Window.partitionBy("__src", "__part").orderBy("__key", "doc_id", "__size").rowsBetween(Window.unboundedPreceding, 0)
-    summed = placed.withColumn("__cum", F.sum("__size").over(inside))
-    summed = summed.join(ranges, F.col("__src").eqNullSafe(F.col("__s2")) & (F.col("__part") == F.col("__p2"))).drop("__s2", "__p2")
-    before = F.col("__start") + F.col("__cum") - F.col("__size")
-    cut = F.least(F.greatest(F.col("__rest") - before, F.lit(0)), F.col("__size")).cast("long")
-    whole = cut == F.col("__size")
+    part = F.floor(F.conv(F.substring("key", 1, 8), 16, 10).cast("long") * F.col("parts") / F.lit(4294967296.0)).cast("long")
+    place = lambda d: d.join(per, F.col("src").eqNullSafe(F.col("s2"))).drop("s2").withColumn("part", part)
+    ranges = place(slim).groupBy("src", "part").agg(F.sum("size").alias("sum"))
+    start = F.coalesce(F.sum("sum").over(Window.partitionBy("src").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    ranges = ranges.select(F.col("src").alias("s2"), F.col("part").alias("p2"), start.alias("start"))
+    inside = Window.partitionBy("src", "part").orderBy("key", "id", "size", "tie").rowsBetween(Window.unboundedPreceding, 0)
+    summed = place(base).withColumn("cum", F.sum("size").over(inside))
+    summed = summed.join(ranges, F.col("src").eqNullSafe(F.col("s2")) & (F.col("part") == F.col("p2")))
+    before = F.col("start") + F.col("cum") - F.col("size")
+    cut = F.least(F.greatest(F.col("rest") - before, F.lit(0)), F.col("size")).cast("long")
+    all_of_it = cut == F.col("size")
     return summed.select(
-        *[c for c in base.columns if not c.startswith("__")],
-        "__src",
-        F.col("__size").alias("size"),
-        "source_size",
-        F.col("target"),
-        (F.col("__epochs") + F.when(whole & (F.col("__size") > 0), 1).otherwise(0)).alias("epochs"),
-        F.when(whole, F.lit(0)).otherwise(cut).cast("long").alias("cut"),
-        (F.col("__epochs") * F.col("__size") + cut).alias("taken"),
+        "row", "src", "size", "source_size", "target",
+        (F.col("whole") + F.when(all_of_it & (F.col("size") > 0), 1).otherwise(0)).alias("epochs"),
+        F.when(all_of_it, F.lit(0)).otherwise(cut).cast("long").alias("cut"),
+        (F.col("whole") * F.col("size") + cut).alias("taken"),
     )
 
 
@@ -96,20 +97,19 @@ def mix(docs: DataFrame, **options) -> DataFrame:
     """The mixed corpus: each document as often as its source's budget takes it.
 
     The one document at a source's edge is cut after the last word that the budget allows; its
-    white space is kept as it is.  Columns are those of docs.
+    white space is kept as it is.  Columns are those of docs, whatever their names.
     """
     planned = plan_mix(docs, **options)
-    pieces = F.regexp_extract_all("text", F.lit(f"[{common.WS_CLASS}]*[^{common.WS_CLASS}]+"), F.lit(0))
+    pieces = F.regexp_extract_all("row.text", F.lit(f"[{common.WS_CLASS}]*[^{common.WS_CLASS}]+"), F.lit(0))
     head = F.array_join(F.slice(pieces, F.lit(1), F.col("cut").cast("int")), "")
     copies = F.concat(F.array_repeat(F.lit(False), F.col("epochs").cast("int")), F.when(F.col("cut") > 0, F.array(F.lit(True))).otherwise(F.array().cast("array<boolean>")))
-    out = planned.withColumn("__part_copy", F.explode(copies)).withColumn("text", F.when(F.col("__part_copy"), head).otherwise(F.col("text")))
-    return out.select(*docs.columns)
+    out = planned.withColumn("partial", F.explode(copies)).withColumn("head", F.when(F.col("partial"), head).otherwise(F.col("row.text")))
+    return out.select(*[F.col("head").alias(c) if c == "text" else F.col(f"row.`{c}`").alias(c) for c in docs.columns])
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.read(spark, sf_dir, "documents").select("doc_id", "text", "source")
-    slim = docs.select("doc_id", "text", "source")
-    return plan_mix(slim).select("doc_id", "size", "source_size", "target", "taken")
+    planned = plan_mix(common.read(spark, sf_dir, "documents"), keep=["doc_id"])
+    return planned.select("row.doc_id", "size", "source_size", "target", "taken")
 
 
 SQL = r"""

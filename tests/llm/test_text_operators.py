@@ -124,8 +124,9 @@ def test_mixing(spark, texts):
     total = sum(r["size"] for r in got)
     by = defaultdict(list)
     for r in got:
-        by[r["source"]].append(r)
-        assert r["size"] == len(WORD.findall(r["text"] or "")) and r["taken"] <= 2 * r["size"]
+        by[r["src"]].append(r)
+        assert r["src"] == r["row"]["source"] and r["row"]["size"] == 7
+        assert r["size"] == len(WORD.findall(r["row"]["text"] or "")) and r["taken"] <= 2 * r["size"]
     weight = dict(zip(sorted(x for x in by if x is not None) + [None], itertools.cycle((3, 1, 2))))
     want, free, left = {}, set(by), 1.5 * total
     while True:
@@ -147,8 +148,8 @@ def test_mixing(spark, texts):
     assert mixed[0].__fields__ == docs.columns
     assert sum(len(WORD.findall(r.text or "")) for r in mixed) == sum(r["taken"] for r in got)
     assert mixing.mix(docs.limit(0)).count() == 0
-    again = {(r["doc_id"], r["taken"]) for r in mixing.plan_mix(docs.repartition(5)).collect()}
-    assert again == {(r["doc_id"], r["taken"]) for r in got}
+    again = {(r["row"]["doc_id"], r["taken"]) for r in mixing.plan_mix(docs.repartition(5)).collect()}
+    assert again == {(r["row"]["doc_id"], r["taken"]) for r in got}
 
 
 def test_decontamination(spark, texts):
