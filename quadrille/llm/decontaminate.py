@@ -1,23 +1,27 @@
 """Benchmark decontamination: size-partitioned MinHash containment search, exact verification.
 
-A benchmark item of q shingles counts as leaked into a document when the document holds at least
-80% of the item's distinct five-word shingles.  Jaccard similarity is useless here: an item of 30
-shingles inside a document of 10,000 has a similarity near 0.003, and a MinHash signature that
-still finds it with one-row bands needs about 16/0.003 minima, as many as the document has
-shingles.  So the size partitions fix the number of minima on each side: on the document side, the
-bound of every partition asks for at least the set itself, which is therefore the signature; on
-the item side a partition of sizes gets the number of minimum hashes (a bottom-k MinHash) for
-which a leak of exactly the threshold is missed with probability below ``MISS``:
-(1 - threshold)^k <= MISS.  Items of up to that size keep all their shingles, so no leak of
-theirs can be missed.  A document is a candidate for an item when it holds one of its minima;
-candidates are then verified by exact containment of the whole sets.
+A benchmark item of n shingles counts as leaked into a document when the document holds at least
+80% of the item's distinct five-word shingles.  Fixed numbers of minima a document cannot answer
+that: an item of 30 shingles inside a document of 10,000 has a similarity of 0.0024, at which one
+minimum agrees once in 420 times, so a miss below 1e-9 takes 8,700 minima for 10,000 shingles.
+The signatures here are bounded by hash value instead, and the bound depends on the item's size:
+
+1. Items are partitioned by size, in powers of two of their distinct shingles.
+2. An item's signature is its k smallest hashes, k by (1 - threshold)^k <= ``MISS``: a leak of
+   the threshold keeps one of them with probability 1 - ``MISS`` at least.  Items of up to k
+   shingles keep all, so none of their leaks can be missed.
+3. A partition's bound is the largest hash in the signatures of its items, near k/n of the range.
+   A document's signature for the partition is the set of its minima up to that bound: the only
+   hashes that could meet.  Items of 1,000 shingles ask for about 1.3% of a document's.
+4. Documents that meet an item in a signature are candidates.  They are verified by the shingles
+   themselves (strings, not hashes): all of the document's against all of the item's.
 
 Words are taken after lower-casing A-Z.  Items of fewer than five words are one shingle as long as
 they are.  Defined results: null, empty or blank texts have no shingle and match nothing; repeated
 rows of either table give one pair; an empty table on either side gives an empty result.  In the
 pairs a document is what has one doc_id (all rows with a null id count as one, their texts
 together); ``clean`` looks at each doc_id and text on its own, so that rows which share an id, or
-have none, stay or go by what they hold themselves.
+have none, stay or go by what they hold themselves.  Columns of any name pass through ``clean``.
 """
 
 from __future__ import annotations
@@ -31,83 +35,87 @@ from pyspark.sql import functions as F
 from . import common
 
 WIDTH, THRESHOLD_PCT, MISS = 5, 80, 1e-9
-#: Item sides of up to this many bytes (checked by a count) are replicated to the executors.
-BROADCAST_ROWS = 200_000
+#: Item sides of up to this many shingles (counted before) and ``BROADCAST_BYTES`` are replicated to the executors.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 def minima(threshold_pct: int = THRESHOLD_PCT, miss: float = MISS) -> int:
     return max(1, math.ceil(math.log(miss) / math.log(1 - min(threshold_pct, 99) / 100)))
 
 
-def _shingles(words, i, width: int):
-    parts = [F.element_at(words, (i + k).cast("int")) for k in range(1, width + 1)]
-    return F.xxhash64(*parts), F.xxhash64(F.lit(width), *parts)
+def _places(docs: DataFrame, keys: tuple[str, ...], widths: list[int], words) -> DataFrame:
+    """The keys, words, width, i: a row for each shingle of each width, in one pass over the texts."""
+    w = docs.select(*keys, words.alias("words")).where(F.size("words") >= min(widths))
+    if len(widths) > 1:
+        w = w.withColumn("width", F.explode(F.array(*[F.lit(k) for k in widths]))).where(F.size("words") >= F.col("width"))
+    else:
+        w = w.withColumn("width", F.lit(widths[0]))
+    return w.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("words") - F.col("width") + 1)))
 
 
-def doc_shingles(docs: DataFrame, width: int, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """The keys, h, h2 for each shingle of each document: one generated row per word, in codegen."""
-    w = docs.select(*keys, common.words(common.ascii_lower(F.col("text"))).alias("__w")).where(F.size("__w") >= width)
-    e = w.select(*keys, "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - width)).alias("__i"))
-    h, h2 = _shingles(F.col("__w"), F.col("__i"), width)
-    return e.select(*keys, h.alias("h"), h2.alias("h2"))
+def _hash(width: int, i=None):
+    """Of the hashes of words from place i on; words that are beyond the width count for nothing."""
+    i = F.col("i") if i is None else i
+    return F.xxhash64("width", *[F.when(F.col("width") > k, F.try_element_at("words", i + k)) for k in range(width)])
+
+
+def _word_hashes(text):
+    """Hashes of the words: each word is hashed once, and shingles are hashes of these."""
+    return F.transform(common.words(common.ascii_lower(text)), lambda w: F.xxhash64(w))
 
 
 def item_shingles(items: DataFrame, width: int = WIDTH) -> DataFrame:
-    """item_id, width, n (distinct shingles), h, h2, rank (by hash, for the minima); the table is a benchmark."""
-    w = items.select("item_id", common.words(common.ascii_lower(F.col("text"))).alias("__w")).where(F.size("__w") >= 1)
-    out = None
-    for k in range(1, width + 1):
-        e = w.where(F.size("__w") == k) if k < width else w.where(F.size("__w") >= width)
-        e = e.select("item_id", "__w", F.explode(F.sequence(F.lit(0), F.size("__w") - k)).alias("__i"))
-        h, h2 = _shingles(F.col("__w"), F.col("__i"), k)
-        e = e.select("item_id", F.lit(k).alias("width"), h.alias("h"), h2.alias("h2"))
-        out = e if out is None else out.unionByName(e)
-    sets = out.groupBy("item_id", "width").agg(F.array_sort(F.collect_set(F.struct("h", "h2"))).alias("s"))
-    return sets.select("item_id", "width", F.size("s").cast("long").alias("n"), F.posexplode("s").alias("rank", "x")).select("item_id", "width", "n", "rank", "x.h", "x.h2")
+    """item_id, width, n (distinct shingles), shingle (text), h, rank (by h), part (of sizes)."""
+    w = items.select("item_id", common.words(common.ascii_lower(F.col("text"))).alias("w")).where(F.size("w") >= 1)
+    w = w.withColumn("width", F.least(F.size("w"), F.lit(width))).withColumn("words", F.transform("w", lambda x: F.xxhash64(x)))
+    e = w.withColumn("i", F.explode(F.sequence(F.lit(1), F.size("w") - F.col("width") + 1)))
+    e = e.select("item_id", "width", F.array_join(F.slice("w", F.col("i"), F.col("width")), " ").alias("shingle"), _hash(width).alias("h"))
+    sets = e.groupBy("item_id", "width").agg(F.array_sort(F.collect_set(F.struct("h", "shingle"))).alias("s"))
+    out = sets.select("item_id", "width", F.size("s").cast("long").alias("n"), F.posexplode("s").alias("rank", "x"))
+    return out.select("item_id", "width", "n", "rank", "x.h", "x.shingle", F.floor(F.log2("n")).cast("int").alias("part"))
 
 
 def _among(docs: DataFrame, found: DataFrame, keys: tuple[str, ...], how: str) -> DataFrame:
     """A semi or anti join on the keys, of which null is a value."""
-    other = found.select(*[F.col(c).alias(f"__of_{c}") for c in keys]).distinct()
-    return docs.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"__of_{c}")) for c in keys]), how)
+    other = found.select(*[F.col(c).alias(f"of_{c}") for c in keys]).distinct()
+    return docs.join(other, reduce(lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(f"of_{c}")) for c in keys]), how)
 
 
 def leaks(docs: DataFrame, items: DataFrame, width: int = WIDTH, threshold_pct: int = THRESHOLD_PCT, miss: float = MISS, keys: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """doc_id (or the keys), item_id, n_item (shingles of the item), n_shared: one row per leaked item and document."""
-    spark = docs.sparkSession
     docs = docs.select(*keys, "text")
     table = common.materialize(item_shingles(items.select("item_id", "text"), width), "items")
     k = minima(threshold_pct, miss)
-    found = table.groupBy("width").count().collect()  # at most `width` rows
-    if not found:
+    # one row per width and power of two: at most width * 64
+    parts = table.groupBy("width", "part").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("shingle")).alias("b"), F.max(F.when(F.col("rank") < k, F.col("h"))).alias("bound")).collect()
+    if not parts:
         return table.select(*[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in keys], "item_id", F.col("n").alias("n_item"), F.col("n").alias("n_shared")).limit(0)
-    small = sum(r["count"] for r in found) <= BROADCAST_ROWS
-    near = (lambda d: F.broadcast(d)) if small else (lambda d: d)
-    # search: which documents hold one of an item's minima
-    probes = table.where(F.col("rank") < k)
-    hit = None
-    for r in sorted(r["width"] for r in found):
-        own = probes.where(F.col("width") == r)
-        d = doc_shingles(docs, r, keys).join(near(own.select("h", "h2", "item_id")), ["h", "h2"]).select(*keys, "item_id", F.lit(r).alias("width"))
-        hit = d if hit is None else hit.unionByName(d)
-    candidates = common.materialize(hit.distinct(), "candidates")
-    # verification on the full sets, of the candidate documents only
-    again = _among(docs, candidates, keys, "left_semi")
-    exact = None
-    for r in sorted(r["width"] for r in found):
-        own = table.where(F.col("width") == r).select("h", "h2", "item_id", F.col("n").alias("n_item"))
-        d = doc_shingles(again, r, keys).join(near(own), ["h", "h2"]).select(*keys, "item_id", "n_item", "h", "h2")
-        exact = d if exact is None else exact.unionByName(d)
-    shared = exact.distinct().groupBy(*keys, "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
+    small = sum(p["c"] for p in parts) <= BROADCAST_ROWS and sum(p["b"] for p in parts) <= BROADCAST_BYTES
+    near = F.broadcast if small else (lambda d: d)
+    widths = sorted({p["width"] for p in parts})
+    # search: a document's minima up to the bound of each partition, against the items' signatures there
+    signatures = table.where(F.col("rank") < k).select("width", "part", "h", "item_id")
+    hashed = _places(docs, keys, widths, _word_hashes(F.col("text"))).select(*keys, "width", _hash(width).alias("h"))
+    bounds = sorted((p["width"], p["bound"], p["part"]) for p in parts)
+    top = reduce(lambda a, b: a | b, [(F.col("width") == w) & (F.col("h") <= max(b for v, b, _ in bounds if v == w)) for w in widths])
+    asked = F.array_compact(F.array(*[F.when((F.col("width") == w) & (F.col("h") <= b), F.lit(p)) for w, b, p in bounds]))
+    minima_of = hashed.where(top).select(*keys, "width", "h", F.explode(asked).alias("part"))
+    candidates = common.materialize(minima_of.join(near(signatures), ["width", "part", "h"]).select(*keys, "item_id").distinct(), "candidates")
+    # verification by the shingles themselves, of the candidate documents only
+    again = common.materialize(_among(docs, candidates, keys, "left_semi"), "candidate-texts")
+    own = _places(again, keys, widths, common.words(common.ascii_lower(F.col("text"))))
+    own = own.select(*keys, "width", F.array_join(F.slice("words", F.col("i"), F.col("width")), " ").alias("shingle"))
+    exact = own.join(near(table.select("width", "shingle", "item_id", F.col("n").alias("n_item"))), ["width", "shingle"])
+    shared = exact.select(*keys, "item_id", "n_item", "shingle").distinct().groupBy(*keys, "item_id", "n_item").agg(F.count(F.lit(1)).alias("n_shared"))
     return shared.where(F.col("n_shared") * 100 >= F.col("n_item") * threshold_pct)
 
 
 def clean(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The documents that hold no benchmark item; all columns of docs."""
     # two hashes: as good as the text itself
-    keyed = docs.withColumns({"__h": F.xxhash64("text"), "__h2": F.xxhash64(F.lit(WIDTH), "text")})
-    keys = ("doc_id", "__h", "__h2")
-    return _among(keyed, leaks(keyed, items, keys=keys, **options), keys, "left_anti").drop("__h", "__h2")
+    keyed = common.carried(docs, doc_id=F.col("doc_id"), text=F.col("text"), t1=F.xxhash64("text"), t2=F.xxhash64(F.lit(WIDTH), "text"))
+    keys = ("doc_id", "t1", "t2")
+    return _among(keyed, leaks(keyed, items, keys=keys, **options), keys, "left_anti").select("row.*")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
