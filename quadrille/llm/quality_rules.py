@@ -20,6 +20,8 @@ once per label; without labels no cutoff is proven and kept = not base_failed.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,8 +34,8 @@ GRID = {
     "repeat_ratio": (0.05, 0.1, 0.15, 0.2, 0.25, 0.3),
     "upper_ratio": (0.1, 0.2, 0.3, 0.4, 0.6, 0.8),
 }
-#: Beyond this many rejected holdouts the (always larger) Chernoff bound replaces the exact sum.
-EXACT_UP_TO = 100_000
+#: Up to this many rejected holdouts the tail is summed from its first term.
+SMALL = 1000
 SYMBOLS = "#*$%&|<>"
 
 
@@ -92,28 +94,46 @@ def rule_values(stats: DataFrame) -> DataFrame:
     })
 
 
+def _stirling(x):
+    """What Stirling's formula lacks of log x!, for x of some hundreds and more."""
+    return 1 / (12 * x) - 1 / (360 * x**3) + 1 / (1260 * x**5)
+
+
 def binomial_tail(n, k, p):
-    """P(Binomial(n, p) <= k), exact up to EXACT_UP_TO, else its Chernoff bound; logs of terms are summed up."""
+    """P(Binomial(n, p) <= k); 1 where k >= n * p, which proves nothing.
+
+    Logs of terms are summed up from 0 where k is small.  Where it is not, they are summed down from
+    k, whose own log is taken by Stirling's formula, until what is left is below 1e-18 of the sum:
+    terms fall at least by the ratio of the first two.  Either way it is the whole sum.
+    """
     first = n * F.log(1 - p)
     step = lambda acc, i: F.struct(
         (acc["t"] + F.log((n - i + 1) / i) + F.log(p / (1 - p))).alias("t"),
         (acc["s"] + F.exp(acc["t"] + F.log((n - i + 1) / i) + F.log(p / (1 - p)))).alias("s"))
     start = F.struct(first.alias("t"), F.exp(first).alias("s"))
-    exact = F.when(k < 1, F.exp(first)).otherwise(F.aggregate(F.sequence(F.lit(1).cast("long"), F.greatest(k, F.lit(1))), start, step, lambda a: a["s"]))
-    q = F.greatest(k / n, F.lit(1e-300))
-    far = F.exp(-n * (q * F.log(q / p) + (1 - q) * F.log((1 - q) / (1 - p))))
-    return F.when(n < 1, F.lit(1.0)).when(k >= n * p, F.lit(1.0)).when(k > EXACT_UP_TO, far).otherwise(exact)
+    count = lambda m: F.sequence(F.lit(1).cast("long"), F.greatest(m, F.lit(1)).cast("long"))
+    up = F.when(k < 1, F.exp(first)).otherwise(F.aggregate(count(F.least(k, F.lit(SMALL))), start, step, lambda a: a["s"]))
+    x, m = k.cast("double"), n.cast("double")
+    log_k = (0.5 * F.log(m / (2 * math.pi * x * (m - x))) + _stirling(m) - _stirling(x) - _stirling(m - x)
+             - x * F.log(x / (m * p)) - (m - x) * F.log((m - x) / (m * (1 - p))))
+    ratio = x * (1 - p) / ((m - x + 1) * p)
+    terms = F.least(k, F.ceil(F.lit(math.log(1e-18)) / F.log(ratio)) + F.ceil(1 / (1 - ratio)))
+    down_step = lambda acc, j: F.struct(
+        (acc["t"] * (k - j + 1) / (n - k + j) * ((1 - p) / p)).alias("t"),
+        (acc["s"] + acc["t"] * (k - j + 1) / (n - k + j) * ((1 - p) / p)).alias("s"))
+    down = F.exp(log_k) * F.aggregate(count(terms), F.struct(F.lit(1.0).alias("t"), F.lit(1.0).alias("s")), down_step, lambda a: a["s"])
+    return F.when(n < 1, F.lit(1.0)).when(k >= n * p, F.lit(1.0)).when(k > SMALL, down).otherwise(up)
 
 
 def cutoffs(values: DataFrame, labels: DataFrame, risk: float = RISK, delta: float = DELTA, grid=GRID) -> DataFrame:
     """stratum, then for each rule the proven cutoff (null: off).  One row per stratum."""
-    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("__d"))
-    held = values.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("__d"))
+    good = labels.where(F.col("quality") == 1).select(F.col("doc_id").alias("d2"))
+    held = values.where(~F.col("base_failed")).join(good, F.col("doc_id") == F.col("d2"))
     counts = [F.count(F.when(F.col(r) > c, 1)).alias(f"{r}|{j}") for r, cs in grid.items() for j, c in enumerate(cs)]
     per = held.groupBy(F.col("lang").alias("stratum")).agg(F.count(F.lit(1)).alias("n"), *counts)
-    strata = values.select("lang").distinct().agg(F.count(F.lit(1)).alias("__strata"))
+    strata = values.select("lang").distinct().agg(F.count(F.lit(1)).alias("strata"))
     per = per.join(strata)  # a single row beside one row per stratum
-    tests = F.col("__strata") * sum(map(len, grid.values()))
+    tests = F.col("strata") * sum(map(len, grid.values()))
     own = F.lit(risk / len(grid))
     proven = lambda r, j: binomial_tail(F.col("n"), F.col(f"`{r}|{j}`"), own) <= F.lit(delta) / tests
     return per.select("stratum", *[F.least(*[F.when(proven(r, j), F.lit(c)) for j, c in enumerate(cs)]).alias(f"cut_{r}") for r, cs in grid.items()])
