@@ -234,6 +234,15 @@ def test_line_dedup(spark, min_words):
     assert line_dedup.dedup_lines(frame(spark, rows).limit(0), min_words).count() == 0
 
 
+def test_line_dedup_of_odd_rows(spark):
+    """Null ids come first, rows of one id and text are treated alike, columns of any name stay."""
+    run = "a b\nc d e\nf"
+    rows = [(None, run, 1, 2), (1, "x y z\n" + run, 3, 4), (1, "x y z\n" + run, 3, 4), (2, run + "\nw", 5, 6), (3, None, 7, 8)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, row long, gone long")
+    got = sorted(line_dedup.dedup_lines(docs, 5).collect(), key=str)
+    assert got == sorted([(None, run, 1, 2), (1, "x y z", 3, 4), (1, "x y z", 3, 4), (2, "w", 5, 6), (3, None, 7, 8)], key=str)
+
+
 def brute_spans(texts, span):
     seen, raw = defaultdict(list), [(t or "").encode() for t in texts]
     for i, b in enumerate(raw):
@@ -297,6 +306,23 @@ def test_proven_cutoffs(spark):
     assert strict.cut_symbol_ratio is None or strict.cut_symbol_ratio == 0.7
 
 
+def test_binomial_tail(spark):
+    """Against sums of logs of factorials, at small and large counts alike."""
+    from math import exp, fsum, lgamma, log
+
+    from pyspark.sql import functions as F
+
+    cases = [(10, 0), (200, 1), (5000, 12), (100_000, 999), (100_000, 1001), (100_000, 1150), (1_000_000, 11_900), (0, 0), (50, 40)]
+    p = 0.0125
+    got = spark.createDataFrame(cases, "n long, k long").select("n", "k", quality_rules.binomial_tail(F.col("n"), F.col("k"), F.lit(p)).alias("t")).collect()
+    for r in got:
+        if r.k >= r.n * p:
+            assert r.t == 1
+            continue
+        want = fsum(exp(lgamma(r.n + 1) - lgamma(i + 1) - lgamma(r.n - i + 1) + i * log(p) + (r.n - i) * log(1 - p)) for i in range(r.k + 1))
+        assert abs(r.t / want - 1) < 1e-7, (r, want)
+
+
 def test_classifier(spark):
     rng = random.Random(9)
     good = lambda: " ".join(rng.choice(["tree", "river", "stone", "and", "of", "the", "walks", "green"]) for _ in range(rng.randint(30, 90))) + "."
