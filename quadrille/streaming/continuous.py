@@ -107,6 +107,8 @@ def replay(events: DataFrame, text: str, static: Dataset | None = None, rules: l
         rel = r if rel is None else join(rel, r)
         fired_all = fired if fired_all is None else fired_all.unionByName(fired)
     rel = _on_static(plan, rel, static, spark)
+    if any(i.fn for i in plan.select.items or []):
+        rel = grouped(rel, plan.select)
     out = finish(rel.project([FIRE, *[n for n in plan.names if n != FIRE]])).withColumn("fire_ts", F.col(FIRE).cast("long")).drop(FIRE)
     return stream_of(plan.register.operator, out, fired_all.select("fire_ts").distinct(), plan.names).select("fire_ts", *plan.names)
 
