@@ -12,8 +12,8 @@ index is built over the text of one task, so what can match comes to one task fi
 3. Index.  Where a repeated anchor has several contexts, one of each goes to the anchor's task.
    Contexts of one document that overlap are joined there, so every byte of a document is in an
    index once, and a match with another place is a repeat.  The contexts of an anchor with more than
-   ``HOT`` of them, which no task should hold, are split by the bytes that their strings share
-   (``_split``) until every group fits a task; each group goes through an index like any other.
+   ``HOT`` of them, which no task should hold, are split by where they leave one of them (``_split``)
+   until every group fits a task; each group goes through an index like any other.
 
 Defined results: null and empty texts have 0 bytes and the digest of nothing; texts under 400 bytes
 keep all; rows repeated in full are copies of each other; null doc_id is a document like any other.
@@ -173,6 +173,126 @@ def _fine(contexts: DataFrame, span: int) -> DataFrame:
     return contexts.mapInArrow(run, f"doc_id {contexts.schema['doc_id'].dataType.simpleString()}, th long, start int, stop int")
 
 
+def _common(a: bytes, b: bytes) -> int:
+    """Length of the longest common prefix, by halving."""
+    low, high = 0, min(len(a), len(b))
+    while low < high:
+        mid = (low + high + 1) // 2
+        if a[:mid] == b[:mid]:
+            low = mid
+        else:
+            high = mid - 1
+    return low
+
+
+def _compared(rows: DataFrame, k: int) -> DataFrame:
+    """rows: contexts with their group's reference (ref_ctx, ref_left).  What each shares with it, and the groups it goes on in.
+
+    A row per group it goes on in, one at least; shared_left and shared_right are set on the first of them.
+    """
+    schema = pa.schema([("old", pa.int64()), ("g", pa.int64()), ("h", pa.int64()), ("doc_id", _arrow(rows)), ("th", pa.int64()), ("pos", pa.int32()), ("left", pa.int32()), ("ctx", pa.binary()), ("shared_left", pa.int32()), ("shared_right", pa.int32())])
+
+    def key(*parts) -> int:
+        return int.from_bytes(hashlib.blake2b(repr(parts).encode(), digest_size=8).digest(), "little", signed=True)
+
+    def run(batches):
+        for batch in batches:
+            take, g, lefts, rights = [], [], [], []
+            for i, (old, left, ctx, ref_left, ref) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("g", "left", "ctx", "ref_left", "ref_ctx")))):
+                if left == ref_left and ctx == ref:
+                    continue
+                before, after = ctx[:left][::-1], ctx[left + k :]
+                x, y = _common(before, ref[:ref_left][::-1]), _common(after, ref[ref_left + k :])
+                on = [key(old, side, n, part[n]) for side, n, part in ((0, x, before), (1, y, after)) if n < len(part)] or [None]
+                take += [i] * len(on)
+                g += on
+                lefts += [x] + [None] * (len(on) - 1)
+                rights += [y] + [None] * (len(on) - 1)
+            t = pa.array(take, pa.int64())
+            own = {c: batch.column(c).take(t) for c in ("h", "doc_id", "th", "pos", "left", "ctx")}
+            yield pa.RecordBatch.from_arrays([batch.column("g").take(t), pa.array(g, pa.int64()), *own.values(), pa.array(lefts, pa.int32()), pa.array(rights, pa.int32())], schema=schema)
+
+    kind = rows.schema["doc_id"].dataType.simpleString()
+    return rows.mapInArrow(run, f"old long, g long, h long, doc_id {kind}, th long, pos int, left int, ctx binary, shared_left int, shared_right int")
+
+
+def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame | None]:
+    """(contexts in groups g of at most hot rows, ranges to remove as doc_id, th, start, stop).
+
+    In a group that is too large each context is compared with one of them, the reference, and both
+    are marked where they share a string.  Two others share a string beyond that only if they leave
+    the reference at the same place with the same next byte, on the left or on the right: so they
+    go on in the groups of these two places and bytes.  Groups of one context are done.
+    """
+    k = span // 2
+    names = ["g", "h", "doc_id", "th", "pos", "left", "ctx"]
+    now, small, found = contexts.withColumn("g", F.col("h")).select(*names), [], []
+    while True:
+        sizes = common.materialize(now.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ctx", "left", "doc_id", "th", "pos")).alias("ref")).where("c > 1"), "groups")
+        small.append(now.join(sizes.where(F.col("c") <= hot).select("g").hint("merge"), "g", "left_semi"))
+        large = sizes.where(F.col("c") > hot)
+        if large.isEmpty():
+            return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, found) if found else None
+        refs = large.select("g", F.col("ref.ctx").alias("ref_ctx"), F.col("ref.left").alias("ref_left"))
+        out = common.materialize(_compared(now.join(refs, "g").select(*names, "ref_ctx", "ref_left"), k), "compared")
+        match = out.where(F.col("shared_left") + F.col("shared_right") >= span - k)
+        found.append(match.select("doc_id", "th", (F.col("pos") - F.col("shared_left")).alias("start"), (F.col("pos") + k + F.col("shared_right")).alias("stop")))
+        most = match.groupBy(F.col("old").alias("g")).agg(F.max("shared_left").alias("l"), F.max("shared_right").alias("r"))
+        found.append(large.join(most, "g").select("ref.doc_id", "ref.th", (F.col("ref.pos") - F.col("l")).alias("start"), (F.col("ref.pos") + k + F.col("r")).alias("stop")))
+        now = out.where("g is not null").select(*names)
+
+
+def _segments(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
+    """(text, row, place) of the stretches of documents that the contexts cover; those that overlap are joined."""
+    codes = t.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+    th = t.column("th").to_numpy()
+    start = t.column("pos").to_numpy() - t.column("left").to_numpy()
+    ctx = t.column("ctx").to_pylist()
+    parts: list[bytearray] = []
+    row, place = [], []
+    now, stop = None, 0
+    for i in np.lexsort((start, th, codes)):
+        own, s = (codes[i], th[i]), int(start[i])
+        if own != now or s > stop:
+            parts.append(bytearray(ctx[i]))
+            row.append(i)
+            place.append(s)
+            now, stop = own, s + len(ctx[i])
+        elif s + len(ctx[i]) > stop:
+            parts[-1] += ctx[i][stop - s :]
+            stop = s + len(ctx[i])
+    return [bytes(x) for x in parts], np.array(row, np.int64), np.array(place, np.int64)
+
+
+def _fine(contexts: DataFrame, span: int) -> DataFrame:
+    """contexts sorted by their group g inside each partition -> doc_id, th, start, stop."""
+    schema = pa.schema([("doc_id", _arrow(contexts)), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
+
+    def marks(t: pa.Table):
+        parts, row, place = _segments(t)
+        part, first, last = RunLengthIndex(parts).repeats(span)
+        take = pa.array(row[part])
+        start, stop = place[part] + first, place[part] + last + span
+        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(take), t.column("th").combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], schema=schema)
+
+    def run(batches):
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            held = t if held is None else pa.concat_tables([held, t])
+            if held.num_rows < 4000:
+                continue
+            g = held.column("g").to_numpy()
+            cut = int(np.searchsorted(g, g[-1], side="left"))  # the last group may go on
+            if cut:
+                yield marks(held.slice(0, cut))
+                held = held.slice(cut)
+        if held is not None and held.num_rows:
+            yield marks(held)
+
+    return contexts.mapInArrow(run, f"doc_id {contexts.schema['doc_id'].dataType.simpleString()}, th long, start int, stop int")
+
+
 def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame]:
     """(contexts in groups g of at most hot rows, ranges to remove as doc_id, th, start, stop).
 
