@@ -242,85 +242,6 @@ def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFra
         now = out.where("g is not null").select(*names)
 
 
-def _segments(t: pa.Table) -> tuple[list[bytes], np.ndarray, np.ndarray]:
-    """(text, row, place) of the stretches of documents that the contexts cover; those that overlap are joined."""
-    codes = t.column("doc_id").combine_chunks().dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
-    th = t.column("th").to_numpy()
-    start = t.column("pos").to_numpy() - t.column("left").to_numpy()
-    ctx = t.column("ctx").to_pylist()
-    parts: list[bytearray] = []
-    row, place = [], []
-    now, stop = None, 0
-    for i in np.lexsort((start, th, codes)):
-        own, s = (codes[i], th[i]), int(start[i])
-        if own != now or s > stop:
-            parts.append(bytearray(ctx[i]))
-            row.append(i)
-            place.append(s)
-            now, stop = own, s + len(ctx[i])
-        elif s + len(ctx[i]) > stop:
-            parts[-1] += ctx[i][stop - s :]
-            stop = s + len(ctx[i])
-    return [bytes(x) for x in parts], np.array(row, np.int64), np.array(place, np.int64)
-
-
-def _fine(contexts: DataFrame, span: int) -> DataFrame:
-    """contexts sorted by their group g inside each partition -> doc_id, th, start, stop."""
-    schema = pa.schema([("doc_id", _arrow(contexts)), ("th", pa.int64()), ("start", pa.int32()), ("stop", pa.int32())])
-
-    def marks(t: pa.Table):
-        parts, row, place = _segments(t)
-        part, first, last = RunLengthIndex(parts).repeats(span)
-        take = pa.array(row[part])
-        start, stop = place[part] + first, place[part] + last + span
-        return pa.RecordBatch.from_arrays([t.column("doc_id").combine_chunks().take(take), t.column("th").combine_chunks().take(take), pa.array(start.astype(np.int32)), pa.array(stop.astype(np.int32))], schema=schema)
-
-    def run(batches):
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            held = t if held is None else pa.concat_tables([held, t])
-            if held.num_rows < 4000:
-                continue
-            g = held.column("g").to_numpy()
-            cut = int(np.searchsorted(g, g[-1], side="left"))  # the last group may go on
-            if cut:
-                yield marks(held.slice(0, cut))
-                held = held.slice(cut)
-        if held is not None and held.num_rows:
-            yield marks(held)
-
-    return contexts.mapInArrow(run, f"doc_id {contexts.schema['doc_id'].dataType.simpleString()}, th long, start int, stop int")
-
-
-def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFrame]:
-    """(contexts in groups g of at most hot rows, ranges to remove as doc_id, th, start, stop).
-
-    The strings that hold an anchor differ in how many of their bytes lie left of it: x of span - k.  A
-    group stands for the strings of a range of x, so its members share the bytes that all of these
-    have.  A group that is too large becomes two of half the range each, by what their members share
-    then; one of a single x is a string itself, and repeated if it has two members.
-    """
-    k = span // 2
-    now = contexts.withColumns({"g": F.col("h"), "low": F.lit(0), "high": F.lit(span - k)})
-    small, found = [], []
-    while True:
-        large = common.materialize(now.groupBy("g").agg(F.count(F.lit(1)).alias("c")).where(F.col("c") > hot).select("g"), "large")
-        if large.isEmpty():
-            return reduce(DataFrame.unionByName, [*small, now]), reduce(DataFrame.unionByName, found) if found else None
-        small.append(now.join(large, "g", "left_anti"))
-        rest = common.materialize(now.join(large, "g", "left_semi"), "split")
-        found.append(rest.where("low = high").select("doc_id", "th", (F.col("pos") - F.col("low")).alias("start"), (F.col("pos") - F.col("low") + span).alias("stop")))
-        mid = F.floor((F.col("low") + F.col("high")) / 2).cast("int")
-        halves = F.array(F.struct(F.col("low"), mid.alias("high")), F.struct((mid + 1).alias("low"), F.col("high")))
-        rest = rest.where("low < high").withColumn("half", F.explode(halves)).withColumns({"low": F.col("half.low"), "high": F.col("half.high")}).drop("half")
-        right = span - k - F.col("high")
-        have = (F.col("left") >= F.col("low")) & (F.octet_length("ctx") - F.col("left") - k >= right)
-        shared = lambda start, n: F.when(n > 0, F.col("ctx").substr(start.cast("int"), n.cast("int"))).otherwise(F.lit(b""))
-        key = F.xxhash64("g", "low", shared(F.col("left") - F.col("low") + 1, F.col("low")), shared(F.col("left") + k + 1, right))
-        now = common.materialize(rest.where(have).withColumn("g", key), "halves")
-
-
 def spans(docs: DataFrame, span: int = SPAN, hot: int = HOT) -> DataFrame:
     """doc_id, th, start, stop: byte ranges to remove, overlapping, not clipped.  docs: doc_id, text, th."""
     reach = span - span // 2
