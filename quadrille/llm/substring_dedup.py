@@ -222,23 +222,29 @@ def _split(contexts: DataFrame, span: int, hot: int) -> tuple[DataFrame, DataFra
     In a group that is too large each context is compared with one of them, the reference, and both
     are marked where they share a string.  Two others share a string beyond that only if they leave
     the reference at the same place with the same next byte, on the left or on the right: so they
-    go on in the groups of these two places and bytes.  Groups of one context are done.
+    go on in the groups of these two places and bytes.  Groups of one context are done.  The
+    reference is the one with the smallest hash: a group that goes on with over half of the contexts
+    has one of its own as reference in over half of all cases, so the rounds grow with the logarithm
+    of a group's size (the first in byte order would often be an outlier that splits nothing).
     """
     k = span // 2
     names = ["g", "h", "doc_id", "th", "pos", "left", "ctx"]
     now, small, found = contexts.withColumn("g", F.col("h")).select(*names), [], []
     while True:
-        sizes = common.materialize(now.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("ctx", "left", "doc_id", "th", "pos")).alias("ref")).where("c > 1"), "groups")
-        small.append(now.join(sizes.where(F.col("c") <= hot).select("g").hint("merge"), "g", "left_semi"))
+        pick = F.struct(F.xxhash64("ctx", "left").alias("r"), "ctx", "left", "doc_id", "th", "pos")
+        sizes = common.materialize(now.groupBy("g").agg(F.count(F.lit(1)).alias("c"), F.min(pick).alias("ref")).where("c > 1"), "groups")
+        fits = now.join(sizes.where(F.col("c") <= hot).select("g").hint("merge"), "g", "left_semi")
+        small.append(common.materialize(fits, "fits") if small else fits)  # later rounds hold few rows
         large = sizes.where(F.col("c") > hot)
         if large.isEmpty():
             return reduce(DataFrame.unionByName, small), reduce(DataFrame.unionByName, found) if found else None
         refs = large.select("g", F.col("ref.ctx").alias("ref_ctx"), F.col("ref.left").alias("ref_left"))
         out = common.materialize(_compared(now.join(refs, "g").select(*names, "ref_ctx", "ref_left"), k), "compared")
         match = out.where(F.col("shared_left") + F.col("shared_right") >= span - k)
-        found.append(match.select("doc_id", "th", (F.col("pos") - F.col("shared_left")).alias("start"), (F.col("pos") + k + F.col("shared_right")).alias("stop")))
+        marked = match.select("doc_id", "th", (F.col("pos") - F.col("shared_left")).alias("start"), (F.col("pos") + k + F.col("shared_right")).alias("stop"))
         most = match.groupBy(F.col("old").alias("g")).agg(F.max("shared_left").alias("l"), F.max("shared_right").alias("r"))
-        found.append(large.join(most, "g").select("ref.doc_id", "ref.th", (F.col("ref.pos") - F.col("l")).alias("start"), (F.col("ref.pos") + k + F.col("r")).alias("stop")))
+        own = large.join(most, "g").select("ref.doc_id", "ref.th", (F.col("ref.pos") - F.col("l")).alias("start"), (F.col("ref.pos") + k + F.col("r")).alias("stop"))
+        found.append(common.materialize(marked.unionByName(own), "marked"))
         now = out.where("g is not null").select(*names)
 
 
