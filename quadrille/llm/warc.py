@@ -9,12 +9,13 @@ Reading: archives are read as whole files (the writer bounds their records) and
 Content-Length, so payloads may hold anything.  Transactions are assembled by joining the three
 kinds through the concurrent-to identifiers; each kind is first aggregated by identifier, so the
 three sides meet in one partitioning and copies of a record are counted, not multiplied.  One
-nested row is given per capture.
+nested row is given per capture.  A revisit's payload is the one of the response that its refers-to
+identifier names.  One payload may be a third of all pages, so joins on payloads are salted.
 
 Defined results: null html is an empty payload; rows repeated in full are captures of their own;
 of rows with the largest page_id of a payload all are responses; a null page_id is written as an
-empty identifier and never referred to unless all of the payload's are null; an empty table gives
-no archive rows.
+empty identifier and never referred to unless all of the payload's are null; a revisit whose response is
+not in the archives has no size and no page to refer to; an empty table gives no archive rows.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ from . import common
 
 MIN_REVISIT_BYTES = 1000
 RECORDS_PER_FILE = 6000
+SALTS = 32
 _DATE = "2024-01-01T00:00:00Z"
 _CRLF = "\r\n"
 
@@ -40,6 +42,15 @@ def _urn(*parts):
     return F.concat(F.lit("<urn:uuid:"), F.concat_ws("-", *cut), F.lit(">"))
 
 
+def _salt(*columns: str):
+    return F.pmod(F.xxhash64(*columns), F.lit(SALTS))
+
+
+def _salted(small: DataFrame) -> DataFrame:
+    """Each row once for every salt."""
+    return small.withColumn("salt", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long"))))
+
+
 def _record(kind: str, headers: list, body):
     """A whole record but for its last CRLF CRLF, which is the writer's separator."""
     lines = [F.lit("WARC/1.1"), F.lit(f"WARC-Type: {kind}"), F.lit(f"WARC-Date: {_DATE}")]
@@ -53,8 +64,8 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     html = F.coalesce(F.col("html"), F.lit(""))
     p = pages.select("page_id", F.regexp_replace(F.coalesce("url", F.lit("")), r"[\r\n]", " ").alias("url"), html.alias("html"), F.octet_length(html).alias("size"), F.sha1(html.cast("binary")).alias("digest"))
     # only payloads that occur more than once have a row here
-    first = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.max_by("url", "page_id").alias("keeper_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    q = p.join(first, ["digest", "size"], "left")
+    first = p.where(F.col("size") >= min_revisit_bytes).groupBy("digest", "size").agg(F.max("page_id").alias("keeper"), F.max_by("url", F.struct("page_id", "url")).alias("keeper_url"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    q = p.withColumn("salt", _salt("page_id", "url")).join(_salted(first), ["digest", "size", "salt"], "left")
     revisit = F.coalesce(F.col("keeper") != F.col("page_id"), F.col("keeper").isNotNull() & F.col("page_id").isNull(), F.lit(False))
     q = q.withColumns({"revisit": revisit, "response": _urn(F.lit("response"), "page_id", "digest"), "row": F.monotonically_increasing_id()})
     status = F.lit("HTTP/1.1 200 OK" + _CRLF + "Content-Type: text/html; charset=utf-8" + _CRLF * 2)
@@ -67,7 +78,7 @@ def write(pages: DataFrame, path: str, min_revisit_bytes: int = MIN_REVISIT_BYTE
     ask = F.concat(F.lit("GET "), F.col("url"), F.lit(" HTTP/1.1" + _CRLF + "Host: "), host, F.lit(_CRLF * 2))
     together = ("WARC-Concurrent-To", F.col("response"))
     request = _record("request", [("WARC-Record-ID", _urn(F.lit("request"), "page_id", "digest", "row")), uri, together, ("Content-Type", F.lit("application/http; msgtype=request"))], ask)
-    fields = F.concat_ws(_CRLF, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.concat(F.lit("payload-bytes: "), F.col("size").cast("string")), F.concat(F.lit("refers-to-page: "), F.when(F.col("revisit"), F.coalesce(F.col("keeper").cast("string"), F.lit(""))).otherwise(F.lit(""))))
+    fields = F.concat_ws(_CRLF, F.concat(F.lit("page-id: "), F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.concat(F.lit("uri: "), F.col("url")))
     metadata = _record("metadata", [("WARC-Record-ID", _urn(F.lit("metadata"), "page_id", "digest", "row")), uri, together, ("Content-Type", F.lit("application/warc-fields"))], fields)
     records = q.select(F.explode(F.array(request, F.when(F.col("revisit"), again).otherwise(response), metadata)).alias("value"))
     records.write.mode("overwrite").option("compression", "gzip").option("lineSep", _CRLF * 2).option("maxRecordsPerFile", RECORDS_PER_FILE).text(path)
@@ -162,16 +173,24 @@ def transactions(found: DataFrame) -> DataFrame:
     return out.withColumn("copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("copies")))).drop("copy", "copies")
 
 
+def resolve(t: DataFrame) -> DataFrame:
+    """The captures (capture_id, page_id, type, refers_to, size, sha1) with size, sha1 and page of the response that a revisit names."""
+    revisits = t.where(F.col("type") == "revisit")
+    named = revisits.select(F.col("refers_to").alias("capture_id")).distinct()
+    answers = t.where(F.col("type") == "response").join(named, "capture_id", "left_semi").groupBy(F.col("capture_id").alias("refers_to")).agg(F.first(F.struct("page_id", "size", "sha1")).alias("named"))
+    found = revisits.withColumn("salt", _salt("capture_id")).join(_salted(answers), ["refers_to", "salt"], "left")
+    own = t.where(F.col("type") == "response").select("page_id", "type", "size", "sha1", F.lit(None).cast(t.schema["page_id"].dataType).alias("refers_to_page"))
+    return own.unionByName(found.select("page_id", "type", F.col("named.size").alias("size"), F.col("named.sha1").alias("sha1"), F.col("named.page_id").alias("refers_to_page")))
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     pages = common.read(spark, sf_dir, "pages")
     path = write(pages, common.shared_path(spark, "warc"))
     t = transactions(read_records(spark, path, payload=False))
-    field = lambda name: F.regexp_extract("metadata.fields", rf"(?:^|\n){name}: ([^\r\n]*)", 1)
-    number = lambda c: F.when(c != "", c.cast("long"))
-    return t.select(
-        number(field("page-id")).alias("page_id"), field("payload-bytes").cast("long").alias("payload_bytes"),
-        F.when(F.col("response.type") == "response", F.col("response.sha1")).otherwise(F.substring_index("response.digest", ":", -1)).alias("payload_digest"),
-        F.col("response.type").alias("record_type"), number(field("refers-to-page")).alias("refers_to"))
+    page = F.regexp_extract("metadata.fields", r"(?:^|\n)page-id: ([^\r\n]*)", 1)
+    t = t.select("capture_id", F.when(page != "", page.cast("long")).alias("page_id"), *[F.col(f"response.{c}").alias(c) for c in ("type", "refers_to", "size", "sha1")])
+    t = resolve(common.materialize(t, "captures"))
+    return t.select("page_id", F.col("size").alias("payload_bytes"), F.col("sha1").alias("payload_digest"), F.col("type").alias("record_type"), F.col("refers_to_page").alias("refers_to"))
 
 
 SQL = r"""
