@@ -8,6 +8,8 @@ protocol, so a lost executor costs only the re-run of its tasks.
 from __future__ import annotations
 
 import atexit
+import contextlib
+import contextvars
 import shutil
 import tempfile
 import uuid
@@ -65,8 +67,24 @@ def shared_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+_folder: contextvars.ContextVar[str] = contextvars.ContextVar("folder", default="")
+
+
 def shared_path(spark: SparkSession, tag: str) -> str:
-    return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/{_folder.get()}{tag}-{uuid.uuid4().hex}"
+
+
+@contextlib.contextmanager
+def scratch(spark: SparkSession, tag: str):
+    """Puts the tables written inside it in one folder, and removes that at the end."""
+    name = f"{tag}-{uuid.uuid4().hex}/"
+    token = _folder.set(_folder.get() + name)
+    try:
+        yield
+    finally:
+        path = f"{shared_root(spark)}/{_folder.get()}"
+        _folder.reset(token)
+        remove(spark, path.rstrip("/"))
 
 
 def materialize(df: DataFrame, tag: str, path: str | None = None) -> DataFrame:

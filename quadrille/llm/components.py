@@ -20,23 +20,28 @@ def _small(edges: DataFrame) -> DataFrame:
     return others.unionByName(least.select("u", F.col("m").alias("v"))).distinct()
 
 
+def _stars(edges: DataFrame) -> bool:
+    """Whether no node has two smaller neighbours, or both a smaller and a larger one."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")).unionByName(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down")))
+    return ends.groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down")).where("up > 1 or up = 1 and down = 1").isEmpty()
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (smallest node reachable) for each node with an edge; edges: u, v of one type.
 
-    An edge set that both stars leave as it is is a forest of stars whose centres are the smallest
-    nodes.  Every round is written to the shared folder, so lineage stays short.
+    Edges go from the larger node to the smaller, so once they form stars each centre is the smallest
+    node of its component.  Every round is written to the shared folder, so lineage stays short.
     """
     spark = edges.sparkSession
     now = edges.where(F.col("u") != F.col("v")).select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
-    path, print_before = None, None
+    path = None
     while True:
         last, path = path, common.shared_path(spark, "stars")
         now = common.materialize(_small(_large(now)), "stars", path)
         if last:
             common.remove(spark, last)
-        seen = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
-        if seen == print_before or not seen[0]:
+        if _stars(now):
             break
-        print_before = seen
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(
         now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())

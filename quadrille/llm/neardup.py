@@ -41,7 +41,7 @@ from .components import components
 from .shingles import MinHash, sets
 
 BANDS, ROWS, SIMILARITY_PCT = 40, 5, 80
-FIRST_PIVOTS, GROWTH = 1, 4
+FIRST_PIVOTS, GROWTH = 8, 32
 
 
 def _signatures(docs: DataFrame, width: int) -> DataFrame:
@@ -171,6 +171,12 @@ def link(docs: DataFrame, width: int, pct: int = SIMILARITY_PCT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept: one row for each row of docs."""
     spark = docs.sparkSession
     common.small_batches(spark)
+    path = common.shared_path(spark, "components")
+    with common.scratch(spark, "near-dedup"):
+        return common.materialize(_link(docs, width, pct), "components", path)
+
+
+def _link(docs: DataFrame, width: int, pct: int) -> DataFrame:
     docs = docs.select("doc_id", "text")
     sigs = common.materialize(_signatures(docs, width), "signatures")
     classes = sigs.where(F.col("doc_id").isNotNull() & (F.col("n") > 0)).groupBy("k1", "k2").agg(F.min("doc_id").alias("rep"))
@@ -188,6 +194,8 @@ def link(docs: DataFrame, width: int, pct: int = SIMILARITY_PCT) -> DataFrame:
     sig = common.materialize(sigs.where("n > 0").join(wanted, "doc_id", "left_semi").select("doc_id", "sig").distinct(), "sigs")
 
     def verify(pairs: DataFrame) -> DataFrame:
+        if pairs.isEmpty():
+            return pairs
         near = common.materialize(_similar_signatures(_with(pairs, sig, "sig"), pct), "near")
         return common.materialize(_similar_sets(_with(near.distinct(), full, "s"), pct).distinct(), "links")
 
@@ -199,10 +207,10 @@ def link(docs: DataFrame, width: int, pct: int = SIMILARITY_PCT) -> DataFrame:
     own = sigs.join(many, "doc_id", "left_semi").join(classes, ["k1", "k2"]).select(F.col("doc_id").alias("u"), F.col("rep").alias("v")).where("u <> v")
     labels = common.materialize(components(links.select(F.col("x").alias("u"), F.col("y").alias("v")).unionByName(own)), "labels")
     def relabel(labels: DataFrame, found: DataFrame) -> DataFrame:
+        if found.isEmpty():
+            return labels
         joined = found.join(labels.select(F.col("node").alias("x"), F.col("component").alias("cx")), "x", "left").join(labels.select(F.col("node").alias("y"), F.col("component").alias("cy")), "y", "left")
         between = common.materialize(joined.select(F.coalesce("cx", "x").alias("u"), F.coalesce("cy", "y").alias("v")), "between")
-        if between.isEmpty():
-            return labels
         merged = components(between).withColumnRenamed("component", "c2")
         known = labels.unionByName(between.select(F.col("u").alias("node"), F.col("u").alias("component"))).unionByName(between.select(F.col("v").alias("node"), F.col("v").alias("component"))).distinct()
         known = known.groupBy("node").agg(F.min("component").alias("component"))
