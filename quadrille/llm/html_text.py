@@ -7,7 +7,9 @@ two cases: an article or main element ends the chrome of wrappers that only thei
 names so, and an element that holds most of the page's words is not chrome for a part of a
 compound (has-sidebar, tag-news), nor an article or main element for any class.  For an article
 both hold only where it has most of the page's words, as comments and teasers are often articles.
-A decision tree, grown here on the small labelled table below,
+A form is chrome with all its text, but for a form wrapped around the page: one that holds an article,
+main or nav element or a first heading.  Where a page marks its article, the blocks beside it are told
+to the tree by a feature of their own.  A decision tree, grown here on the small labelled table below,
 says which blocks are main text.
 
 Elements that hold no text of the page (scripts, styles, templates, form controls, comments of the
@@ -33,14 +35,16 @@ from . import common
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role|hidden|aria-hidden|style|itemprop)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?", re.I)
 _RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
-_SKIP = {"head", "script", "style", "template", "svg", "math", "canvas", "object", "audio", "video", "select", "button", "textarea", "iframe", "noscript", "datalist", "option", "label", "fieldset", "form", "dialog", "xmp", "noembed", "noframes", "title", "map"}
+_SKIP = {"head", "script", "style", "template", "svg", "math", "canvas", "object", "audio", "video", "select", "button", "textarea", "iframe", "noscript", "datalist", "option", "label", "dialog", "xmp", "noembed", "noframes", "title", "map"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _BLOCK = {"address", "article", "aside", "blockquote", "body", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+_FORM = {"form", "fieldset"}
+_HELD = {"article", "main", "nav", "h1"}  # a form with one of these is a wrapper of the page
 _LANDMARK = {"nav", "footer", "aside", "menu", "header"}
 _CHROME = re.compile(r"(?:^|[\s_-])(?:ads?|adverts?|advert\w*|adsense|banner|sponsor\w*|promo\w*|nav\w*|menus?|sidebars?|side-?bar|side|footer|foot|header|masthead|breadcrumbs?|cookies?\w*|consent|gdpr|notices?|alerts?|popup|modal|overlay|newsletter|subscribe|signup|login|share|sharing|social|related|recommend\w*|more-?stories|trending|widgets?|toolbar|pagination|pager|comments?|commentlist|disqus|replies|reply|respond|reviews?|discussion|copyright|legal|disclaimer|skip|search|tags?|byline-?links|outbrain|taboola|teasers?|navigation|contentinfo|complementary)(?=$|[\s_-])", re.I)
 _MAIN = re.compile(r"(?:^|[\s_-])(?:article|articlebody|article-?body|main|main-?content|content|post|post-?body|entry|entry-?content|story|story-?body|text|body)(?=$|[\s_-])", re.I)
 _NOTICE = re.compile(r"^\s*(?:©|\(c\)|copyright\b|all rights reserved|we use cookies|this (?:web)?site uses cookies|advertisement\b|sponsored\b|subscribe\b|sign up\b|share this\b)", re.I)
-FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "main", "article", "notice", "heading")
+FEATURES = ("words", "links", "words_before", "links_before", "words_after", "links_after", "chrome", "main", "article", "notice", "heading", "beside")
 
 
 class Block:
@@ -53,10 +57,10 @@ class Block:
 class Mark:
     """An element that says something of the text in it: chrome (certain: by element or role; plain: a whole class word), main text."""
 
-    __slots__ = ("name", "chrome", "certain", "plain", "main", "most")
+    __slots__ = ("name", "chrome", "certain", "plain", "main", "most", "wraps")
 
     def __init__(self, name, chrome, certain, plain, main):
-        self.name, self.chrome, self.certain, self.plain, self.main, self.most = name, chrome, certain, plain, main, False
+        self.name, self.chrome, self.certain, self.plain, self.main, self.most, self.wraps = name, chrome, certain, plain, main, False, False
 
 
 _P_CLOSERS = _BLOCK - {"html", "body"}
@@ -163,13 +167,16 @@ def blocks(page: str | None) -> list[Block]:
                     main |= bool(_MAIN.search(value))
             if hidden:
                 chrome = 2
+        if name in _HELD:
+            for k in path:
+                marks[k].wraps = True
         inside = any(x[0] == "article" for x in stack)
         if name in _LANDMARK and not (name == "header" and inside):
             chrome, certain = max(chrome, 1), True
         if chrome == 1 and main and name in ("article", "main"):
             chrome = 0
         article = int(name in ("article", "main"))
-        marked = bool(chrome or main or article)
+        marked = bool(chrome or main or article or name in _FORM)
         if marked:
             path.append(len(marks))
             marks.append(Mark(name, chrome > 0, certain, plain, bool(main)))
@@ -191,6 +198,8 @@ def settle(found: list[Block], paths: list[tuple[int, ...]], marks: list[Mark])
             held[k] += b.words
     for m, words in zip(marks, held):
         m.most = 2 * words > total
+        if m.name in _FORM and not m.wraps:
+            m.chrome = m.certain = True
         if m.chrome and not m.certain and m.most and (m.name in ("article", "main") or not m.plain):
             m.chrome = False
     for b, path in zip(found, paths):
@@ -210,6 +219,8 @@ def block_features(found: list[Block]) -> np.ndarray:
     for i, b in enumerate(found):
         x[i, 0], x[i, 1] = b.words, b.linked
         x[i, 6:11] = b.chrome, b.main, b.article, bool(_NOTICE.search(b.text)), b.heading
+    if any(b.article for b in found):
+        x[:, 11] = [not b.article for b in found]
     if n:
         x[1:, 2:4], x[:-1, 4:6] = x[:-1, 0:2], x[1:, 0:2]
     return x
@@ -252,13 +263,26 @@ RUNS = (
 )
 
 
+#: Blocks of one page each that also has an article elsewhere: (words, link share, chrome, main, heading); none is main text.
+BESIDE = (
+    ((1, 40, 2, 90, 15, 300, 1), 0.0, 0, 0, 0), ((60, 5, 1, 30, 700), 0.0, 0, 0, 0), ((2, 6, 30, 150), 0.3, 0, 0, 0), ((45, 10, 80, 1, 200), 0.0, 0, 1, 0), ((7, 25, 3, 400), 0.1, 0, 1, 0),
+    ((3, 12, 4, 2, 8), 0.0, 0, 0, 1), ((3, 12, 4, 2, 8), 0.0, 0, 1, 1), ((4, 2, 9, 40, 3), 0.0, 0, 1, 0), ((50, 25, 90, 33), 0.05, 0, 0, 0), ((30, 55, 18, 120), 0.0, 0, 0, 0), ((1, 2, 20, 5), 1.0, 0, 0, 0),
+)
+
+
 def labelled() -> tuple[np.ndarray, np.ndarray]:
     """The table as features and labels; the runs become one row per block."""
-    x, y = [r for r, _ in LABELLED], [c for _, c in LABELLED]
+    x, y = [(*r, 0) for r, _ in LABELLED], [c for _, c in LABELLED]
     for (words, link, chrome, main, article, heading), c in RUNS:
         page = [Block("", w, link, chrome, main, article, heading) for w in words]
         x += block_features(page).tolist()
         y += [c] * len(page)
+    for words, link, chrome, main, heading in BESIDE:
+        page = [Block("", w, link, chrome, main, False, heading) for w in words]
+        rows = block_features(page)
+        rows[:, -1] = 1
+        x += rows.tolist()
+        y += [0] * len(page)
     return np.array(x, float), np.array(y)
 
 
@@ -299,9 +323,6 @@ def main_text(page: str | None, tree) -> str:
     if not found:
         return ""
     keep = predict(tree, block_features(found))
-    # where a page says what its article is, that is the main text: all of it but the chrome inside
-    if any(b.article for b in found):
-        keep = keep & np.array([b.article for b in found])
     return "\n".join(b.text for b, k in zip(found, keep) if k)
 
 

@@ -1,6 +1,7 @@
 """Archives and page texts."""
 
 import hashlib
+import random
 
 from quadrille.llm import html_text, warc
 
@@ -56,3 +57,58 @@ def test_layout_words_do_not_make_the_article_chrome():
     # chrome by element or role stays, and so do plain words on what is no article
     for start, end in (("<aside><article>", "</article></aside>"), ("<div role='complementary'><article>", "</article></div>"), ("<div class='sidebar'>", "</div>")):
         assert html_text.main_text(f"<body>{start}{body}{end}</body>", tree) == "", start
+
+
+def test_forms_go_but_not_the_page_inside_one():
+    tree = html_text.train()
+    body = "<h1>The title of it</h1><p>" + "words of the story itself " * 15 + "</p>"
+    want = "The title of it\n" + ("words of the story itself " * 15).strip()
+    ask = "<form><fieldset><p>" + "please tell us what you think of this page " * 10 + "</p><input></fieldset></form>"
+    for page in (f"<form action=x><nav><a href=y>Home</a></nav><article>{body}</article></form>", f"<article>{body}{ask}</article>", f"<form><main>{body}</main>{ask}</form>", f"<main>{body}</main>{ask}", f"<body>{ask}{body}</body>"):
+        assert html_text.main_text(f"<body>{page}</body>", tree) == want, page
+    assert html_text.main_text(f"<body>{ask}</body>", tree) == ""
+
+
+def test_generated_pages_give_their_articles_whole():
+    tree, rng = html_text.train(), random.Random(5)
+    say = lambda n: " ".join(rng.choice(("river", "stone", "of", "the", "winter", "light", "a&amp;b", "caf&eacute;")) for _ in range(n))
+    plain = lambda t: t.replace("&amp;", "&").replace("&eacute;", "é")
+    for _ in range(300):
+        parts = [(rng.choice(("p", "h2", "li", "blockquote")), say(rng.choice((1, 2, 7, 30, 200)))) for _ in range(rng.randint(1, 9))]
+        inner = "".join(f"<{t}>{x}</{t}>" for t, x in parts)
+        noise = lambda: rng.choice((
+            f"<nav><ul><li><a href=u>{say(2)}</a></ul></nav>", f"<aside><p>{say(60)}</p></aside>", f"<footer><p>{say(30)}</p></footer>", f"<div class='ad'><p>{say(25)}</p></div>", f"<form><p>{say(40)}</p></form>",
+            f"<script>{say(9)}</script>", f"<style>{say(9)}</style>", f"<section class='comments'><p>{say(50)}</p></section>", f"<div id='cookie-notice'>{say(20)}</div>", f"<p>{say(80)}</p>"))
+        page = f"<html><body>{noise()}{noise()}<article>{inner}</article>{noise()}{noise()}</body></html>"
+        assert html_text.main_text(page, tree) == "\n".join(plain(x) for _, x in parts)
+
+
+def test_the_tree_takes_the_best_split_of_all():
+    x, y = html_text.labelled()
+
+    def impurity(rows):
+        p = sum(y[i] for i in rows) / len(rows) if rows else 0
+        return 2 * p * (1 - p) * len(rows)
+
+    def walk(node, rows, depth):
+        if not isinstance(node, tuple):
+            assert node == int(2 * sum(y[i] for i in rows) >= len(rows))
+            return
+        split = lambda f, t: ([i for i in rows if x[i, f] <= t], [i for i in rows if x[i, f] > t])
+        left, right = split(node[0], node[1])
+        mine = impurity(left) + impurity(right)
+        for f in range(x.shape[1]):
+            for t in {x[i, f] for i in rows}:
+                a, b = split(f, t)
+                assert not a or not b or mine <= impurity(a) + impurity(b) + 1e-9
+        walk(node[2], left, depth + 1)
+        walk(node[3], right, depth + 1)
+
+    walk(html_text.train(), list(range(len(y))), 0)
+
+
+def test_revisits_are_read_through_their_link(spark):
+    rows = [("r", 7, "response", None, 1200, "aa"), ("v", 3, "revisit", "r", 0, "empty"), ("w", 4, "revisit", "gone", 0, "empty"), ("r", 7, "response", None, 1200, "aa")]
+    t = spark.createDataFrame(rows, "capture_id string, page_id long, type string, refers_to string, size long, sha1 string")
+    got = sorted(map(tuple, warc.resolve(t).collect()), key=str)
+    assert got == sorted([(7, "response", 1200, "aa", None)] * 2 + [(3, "revisit", 1200, "aa", 7), (4, "revisit", None, None, None)], key=str)
