@@ -354,3 +354,38 @@ def test_decontamination_keeps_clean_rows_of_a_shared_id(spark):
     got = [tuple(r) for r in decontaminate.clean(docs, items).collect()]
     assert sorted(got, key=str) == sorted(want, key=str)
     assert sorted(tuple(r) for r in decontaminate.clean(docs, items.limit(0)).fillna("").fillna(-1).collect()) == sorted((-1 if a is None else a, b or "") for a, b in data)
+
+
+def test_discriminant_is_the_log_density_difference(spark):
+    """Scores against sums over the rows themselves, inverses and determinants without Cholesky; repeated rows count twice."""
+    rng = random.Random(4)
+    make = lambda bad: " ".join(rng.choice(["tree", "River", "stone,", "of", "the", "9", "café"]) + ("!#" if bad and rng.random() < 0.6 else "") for _ in range(rng.randint(5, 60)))
+    rows = [(i, make(i % 3 == 0)) for i in range(120)] + [(5, "again the same id"), (7, None), (500, ""), (501, "word " * 20000)]
+    rows += rows[:4]
+    labels = [(i, int(i % 3 > 0)) for i in range(120)] + [(3, None), (4, 9), (1, 1)]
+    x = {0: [], 1: []}
+    for i, t in rows:
+        if zlib.crc32(str(i).encode()) % 4 != 2:
+            for j, q in labels:
+                if i == j and q in (0, 1):
+                    x[q].append(classifier.document_statistics(t))
+    n = {c: len(v) for c, v in x.items()}
+    mean = {c: np.mean(v, axis=0) for c, v in x.items()}
+    cov = {c: np.mean([np.outer(r - mean[c], r - mean[c]) for r in np.array(v)], axis=0) for c, v in x.items()}
+    pooled = sum(cov[c] * n[c] for c in n) / sum(n.values())
+
+    def density(c, r):
+        own = (1 - classifier.POOL) * n[c] / (n[c] + 10 * len(r))
+        m = own * cov[c] + (1 - own) * pooled
+        m = (1 - classifier.DIAGONAL) * m + classifier.DIAGONAL * np.diag(np.diag(m)) + 1e-3 * np.diag(np.maximum(np.diag(pooled), 1e-6))
+        return np.log(n[c] / sum(n.values())) - 0.5 * np.linalg.slogdet(m)[1] - 0.5 * (r - mean[c]) @ np.linalg.inv(m) @ (r - mean[c])
+
+    want = []
+    for i, t in rows:
+        r = np.array(classifier.document_statistics(t))
+        want.append((i, 1 / (1 + np.exp(-np.clip(density(1, r) - density(0, r), -700, 700)))))
+    schema = "doc_id long, quality int"
+    got = sorted((r.doc_id, r.score) for r in classifier.classify(frame(spark, rows), spark.createDataFrame(labels, schema)).collect())
+    assert [i for i, _ in got] == [i for i, _ in sorted(want)]
+    assert np.allclose([s for _, s in got], [s for _, s in sorted(want)], atol=1e-5)
+    assert classifier.classify(frame(spark, rows).limit(0), spark.createDataFrame(labels, schema)).count() == 0
