@@ -156,9 +156,10 @@ def _consensus(apart: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(doc_id, centre, cn, ci) and (doc_id, centre, e), with shingles that many documents of a centre share taken into it.
 
     A centre may itself be a copy with changes; what it lacks then is outside it in all others.  The
-    bound holds for any set as centre, so such shingles are counted as the centre's.
+    bound holds for any set as centre, so such shingles are counted as the centre's.  The rows, one
+    for each shingle outside a document's centre, are made once for the three steps that read them.
     """
-    rows = apart.select("doc_id", "centre", F.explode("extra").alias("e"))
+    rows = common.materialize(apart.select("doc_id", "centre", F.explode("extra").alias("e")), "extra")
     size = apart.groupBy("centre").agg(F.count(F.lit(1)).alias("n"))
     shared = rows.groupBy("centre", "e").agg(F.count(F.lit(1)).alias("c")).join(size, "centre").where("c > 20 and c * 20 > n").select("centre", "e")
     shared = common.materialize(shared, "consensus")

@@ -87,6 +87,32 @@ def test_near_dedup_of_large_groups(spark):
     assert [got[i] for i in range(len(out))] == linked(out, 2)[0]
 
 
+def test_near_dedup_makes_the_shingles_outside_a_centre_once(spark):
+    """_consensus against a count in Python; rows of extra shingles are made once, whatever reads them."""
+    from pyspark.sql import functions as F
+
+    rng = random.Random(8)
+    docs = [(i, i % 2, 50, 40, rng.sample(range(30), 3) + [100 + i] + [90] * (i % 3 > 0)) for i in range(120)]
+    made = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<long>")
+    def same(extra):
+        made.add(len(extra))
+        return extra
+
+    apart = spark.createDataFrame(docs, "doc_id long, centre long, cn long, ci long, extra array<long>").repartition(3).withColumn("extra", same.asNondeterministic()("extra"))
+    inside, outside = neardup._consensus(apart)
+    count = defaultdict(int)
+    for _, c, _, _, extra in docs:
+        for e in extra:
+            count[c, e] += 1
+    shared = {k for k, n in count.items() if n > 20 and n * 20 > 60}
+    assert shared == {(0, 90), (1, 90)}
+    assert {(r.doc_id, r.centre, r.cn, r.ci) for r in inside.collect()} == {(i, c, n, k + sum((c, e) in shared for e in extra)) for i, c, n, k, extra in docs}
+    assert {(r.doc_id, r.centre, r.e) for r in outside.collect()} == {(i, c, e) for i, c, _, _, extra in docs for e in extra if (c, e) not in shared}
+    assert made.value == sum(len(x[-1]) for x in docs)
+
+
 def test_near_dedup_of_odd_rows(spark):
     docs = frame(spark, [(None, "a b c d e f"), (5, "a b c d e f"), (5, "a b c d e f"), (7, "g h i j k l"), (7, "a b c d e f"), (9, "g h i j k l")])
     got = {(r.doc_id, r.component_id) for r in neardup.link(docs, 2).collect()}
