@@ -32,6 +32,8 @@ from . import common
 FEATURES = ("words", "word_len", "long_word", "upper", "digit", "symbol", "bang", "pipe", "stop_mark", "other_ascii", "non_ascii", "space", "line_words", "dup_lines", "distinct_words", "top_word", "end_symbol", "repeat_pairs")
 POOL, DIAGONAL, TEMPER, THRESHOLD = 0.3, 0.1, 1.0, 0.7
 FOLDS, HELD_OUT = 4, 2
+#: Bits of the map of labelled ids: 2 MB for any number of labels.
+BITS = 1 << 24
 
 _CLASS = np.zeros(256, dtype=np.int64)
 for _k, _chars in enumerate((b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&<>@^~_=+\\", b"!?", b"|", b".,;:", b"\"'()[]{}/-`"), 1):
@@ -124,11 +126,36 @@ def scorer(model: Discriminant):
     return score
 
 
+def _labelled(docs: DataFrame, labels: DataFrame):
+    """Whether a row of docs may have a label: true for all that have one, and for a few others whose hash is that of one.
+
+    A map of BITS hashes decides, so that no text is shuffled to meet its label.  Ids of two types, or of types whose
+    equal values may hash apart, are left to the join.
+    """
+    kind = docs.schema["doc_id"].dataType
+    if kind != labels.schema["doc_id"].dataType or kind not in (T.LongType(), T.IntegerType(), T.StringType()):
+        return F.lit(True)
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(BITS)) + 1
+    known = labels.where(F.col("quality").isin(0, 1)).select(place.alias("p"))
+    # BITS / 32768 rows of 4 KB
+    parts = known.groupBy(F.bitmap_bucket_number("p").alias("k")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("p")).alias("bits")).collect()
+    whole = np.zeros(-(-BITS // 32768) * 4096, np.uint8)
+    for r in parts:
+        whole[(r["k"] - 1) * 4096 : r["k"] * 4096] = np.frombuffer(r["bits"], np.uint8)
+    shared = docs.sparkSession.sparkContext.broadcast(whole)
+
+    @F.pandas_udf(T.BooleanType())
+    def known_place(p: pd.Series) -> pd.Series:
+        at = p.to_numpy() - 1
+        return pd.Series((shared.value[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool))
+
+    return known_place(place)
+
+
 def train(docs: DataFrame, labels: DataFrame) -> Discriminant:
-    """Only labelled documents are read into statistics here."""
+    """Only labelled documents, and the few that share a hash with one, are read into statistics here; fit() joins the labels exactly."""
     common.small_batches(docs.sparkSession)
-    known = labels.where(F.col("quality").isin(0, 1)).select(F.col("doc_id").alias("__d")).distinct()
-    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT).join(known, F.col("doc_id") == F.col("__d"), "left_semi")
+    rows = docs.select("doc_id", "text").where(fold(F.col("doc_id")) != HELD_OUT).where(_labelled(docs, labels))
     return fit(rows.select("doc_id", _statistics("text").alias("x")), labels)
 
 

@@ -368,6 +368,27 @@ def test_classifier(spark):
     assert kept.columns == docs.columns and {r.doc_id for r in kept.collect()} == {r.doc_id for r in got if r.predicted}
 
 
+@pytest.mark.parametrize("bits", [8, 1 << 24])
+def test_training_moves_no_text(spark, monkeypatch, bits):
+    """No exchange or join before the statistics, even where labels are too many to broadcast; the model is that of all statistics."""
+    rng = random.Random(3)
+    rows = [(i, " ".join(rng.choice(["Tree", "of", "9", "a!#", "green."]) for _ in range(rng.randint(3, 40)))) for i in range(200)] + [(5, "an id again"), (None, "x"), (7, None)]
+    docs, labels = frame(spark, rows), spark.createDataFrame([(i, int(i % 3 > 0)) for i in range(0, 120, 2)] + [(4, 1), (6, None), (None, 1)], "doc_id long, quality int")
+    fit, plans = classifier.fit, []
+
+    def watched(stats, known):
+        plans.append(stats._jdf.queryExecution().optimizedPlan().toString())
+        return fit(stats, known)
+
+    want = fit(docs.select("doc_id", classifier._statistics("text").alias("x")), labels)
+    monkeypatch.setattr(classifier, "BITS", bits, raising=False)
+    monkeypatch.setattr(classifier, "fit", watched)
+    for known in (labels, labels.withColumn("doc_id", labels["doc_id"].cast("string"))):
+        got = classifier.train(docs, known)
+        assert all(np.allclose(got.mean[c], want.mean[c]) and np.allclose(got.factor[c], want.factor[c]) and np.isclose(got.offset[c], want.offset[c]) for c in (0, 1))
+    assert len(plans) == 2 and not any("Join" in p for p in plans)
+
+
 def test_decontamination_keeps_clean_rows_of_a_shared_id(spark):
     from quadrille.llm import decontaminate
 
