@@ -188,3 +188,72 @@ def test_registered_provenance_over_all_lines(spark, tmp_path):
         want.append((s, o, round(enumerate_probability(dnf, prob, {}), 9)))
     for name in ("wmc", "sdd", "addmult"):
         assert sorted(tuple(r) for r in catalog.QUERIES[f"provenance_{name}_all"](spark, str(tmp_path)).collect()) == sorted(want)
+
+
+def test_members_that_no_proof_names_are_one_case():
+    import time
+
+    n, named = 20_000, 50
+    prob, group = {i: 1 / n for i in range(1, n + 1)}, {i: 7 for i in range(1, n + 1)}
+    began = time.perf_counter()
+    assert abs(wmc.probability([[i] for i in range(1, named + 1)], prob, group) - named / n) < 1e-9
+    assert time.perf_counter() - began < 2
+    rng = random.Random(5)
+    for _ in range(80):
+        prob = {i: rng.random() / 4 for i in range(1, 9)}
+        group = {1: 0, 2: 0, 3: 0, 4: 1, 5: 1}
+        dnf = [sorted({rng.choice([1, 1, -1]) * rng.randint(1, 8) for _ in range(rng.randint(1, 3))}) for _ in range(rng.randint(1, 6))]
+        dnf = [c for c in dnf if not any(-x in c for x in c)]
+        assert abs(wmc.probability(dnf, prob, group) - enumerate_probability(dnf, prob, group)) < 1e-9
+
+
+@pytest.mark.parametrize("ring", ["wmc", "sdd", "topk", "hybrid"])
+def test_many_proofs_of_one_fact(spark, ring):
+    import time
+
+    n = 500
+    f = [("s", "edge", f"p{i}", 0.001 + i / 1e5) for i in range(n)] + [(f"p{i}", "edge", "b", 0.5) for i in range(n)]
+    options = {"topk": {"k": 2}, "hybrid": {"options": {"threshold": 0.5}}}.get(ring, {})
+    began = time.perf_counter()
+    got = [x for x in Reasoner.of(spark, f, [PAIR]).infer_with_provenance(ring, **options).where("p = 'two'").collect()]
+    assert time.perf_counter() - began < 40
+    none = 1.0
+    for i in range(n - 2 if ring == "topk" else 0, n):
+        none *= 1 - (0.001 + i / 1e5) * 0.5
+    assert len(got) == 1 and len(got[0].proofs) == n
+    assert got[0].decision == "Alert" if ring == "hybrid" else abs(got[0].tag - (1 - none)) < 1e-9
+
+
+@pytest.mark.parametrize("ring", ["addmult", "minmax", "boolean", "wmc"])
+def test_rules_that_read_no_own_conclusion_run_once(spark, ring, monkeypatch):
+    from quadrille.reason import fixpoint as module
+
+    four = rule([("?x", "two", "?y"), ("?y", "edge", "?z")], [("?x", "three", "?z")])
+    assert module.levels([four, PAIR]) == [[PAIR], [four]] and module.levels([PATH, PATHS]) is None
+    calls, bodies = [], module.bodies
+    monkeypatch.setattr(module, "bodies", lambda r, *a: calls.append(r) or bodies(r, *a))
+    f = [*EDGES, ("d", "edge", "e", 0.5), ("a", "two", "d", 0.1)]
+    got = {(x.s, x.p, x.o): x.tag for x in Reasoner.of(spark, f, [four, PAIR]).infer_with_provenance(ring).collect()}
+    assert calls == [PAIR, four] and len(got) == 9
+    two = {"addmult": 1 - 0.286 * 0.9, "wmc": 1 - 0.286 * 0.9, "minmax": 0.6, "boolean": True}[ring]
+    three = {"addmult": two * 0.5, "wmc": two * 0.5, "minmax": 0.5, "boolean": True}[ring]
+    assert abs(got[("a", "two", "d")] - two) < 1e-9 and abs(got[("a", "three", "e")] - three) < 1e-9
+
+
+def test_a_fact_given_with_several_probabilities(spark):
+    f = [("a", "edge", "b", 0.5), ("a", "edge", "b", 0.2), ("a", "edge", "b", 0.2), ("a", "edge", "b", 0.3), ("b", "edge", "c", 0.5)]
+    got = {(x.s, x.p, x.o): x.tag for x in Reasoner.of(spark, f, [PAIR]).infer_with_provenance("wmc").collect()}
+    assert abs(got[("a", "edge", "b")] - 0.72) < 1e-9 and abs(got[("a", "two", "c")] - 0.36) < 1e-9
+
+
+def test_proofs_that_hold_others(spark):
+    from pyspark.sql import functions as F
+
+    from quadrille.prob.semirings import prune
+
+    rng = random.Random(9)
+    tags = [[sorted({rng.choice([1, 1, -1]) * rng.randint(1, 5) for _ in range(rng.randint(0, 3))}) for _ in range(rng.randint(0, 7))] for _ in range(100)]
+    got = spark.createDataFrame([(i, d) for i, d in enumerate(tags)], "i int, d array<array<bigint>>").select("i", prune(F.col("d")).alias("d")).collect()
+    for r in got:
+        sound = {tuple(c) for c in tags[r.i] if not any(-x in c for x in c)}
+        assert [tuple(c) for c in r.d] == sorted(c for c in sound if not any(set(o) < set(c) for o in sound))
