@@ -34,3 +34,18 @@ def test_same_rows(spark, duck, name):
     names = [d[0] for d in want.description]
     assert sorted(df.columns) == sorted(names)
     assert cells(df.collect(), df.columns) == cells(want.fetchall(), names)
+
+
+@pytest.mark.parametrize("name,table", [("variable_predicate", "nation"), ("constant_subject", "orders")])
+def test_a_known_subject_reads_its_own_table(spark, duck, name, table):
+    df = catalog.QUERIES[name](spark, SF)
+    assert {f.rpartition("/")[2] for f in df.inputFiles()} == {f"{table}.parquet"}
+    want = duck.execute(catalog.SQL[name])
+    assert cells(df.collect(), df.columns) == cells(want.fetchall(), [d[0] for d in want.description])
+
+
+def test_a_bound_subject_may_also_be_stored(spark):
+    ds = catalog.tables(spark, SF).add_triple("urn:nation:1", "urn:note", "x").add_triple("urn:other", "urn:note", "y")
+    got = ds.query("SELECT ?p ?v WHERE { ?s ?p ?v . ?s a <urn:nation> }").collect()
+    assert [r.v for r in got if r.p == "urn:note"] == ["x"] and len(got) == 25 * 4 + 1
+    assert ds.query_quads("urn:nation:1").count() == 5 and ds.query_quads("urn:other").count() == 1
