@@ -88,8 +88,9 @@ def to_rdfxml(quads: DataFrame) -> DataFrame:
     return by.select(F.concat(F.lit('  <rdf:Description rdf:about="'), esc(F.col("s")), F.lit('">\n'), F.col("lines"), F.lit("\n  </rdf:Description>")).alias("value"))
 
 
-def _write(lines: DataFrame, path: str) -> None:
-    lines.write.mode("overwrite").text(path)
+def _write(lines: DataFrame, path: str, most: int = 0) -> None:
+    """Text files, of so many lines at most where ``most`` is given."""
+    lines.write.mode("overwrite").option("maxRecordsPerFile", most).text(path)
 
 
 def write_ntriples(quads: DataFrame, path: str) -> None:
@@ -100,8 +101,12 @@ def write_nquads(quads: DataFrame, path: str) -> None:
     _write(to_nquads(quads), path)
 
 
+#: Statements in a file of Turtle, which one task reads whole.
+SUBJECTS = 20_000
+
+
 def write_turtle(quads: DataFrame, path: str) -> None:
-    _write(to_turtle(quads), path)
+    _write(to_turtle(quads), path, SUBJECTS)
 
 
 def write_rdfxml(quads: DataFrame, path: str) -> None:

@@ -48,3 +48,20 @@ def test_union_of_datasets(spark):
     a, b = Dataset.of(spark, [("urn:a", "urn:p", "1")]).create_graph("urn:e"), Dataset.of(spark, [("urn:a", "urn:p", "1"), ("urn:b", "urn:p", "2", "urn:g")])
     u = a.union(b)
     assert u.quads.count() == 2 and rows(u.graphs) == [("urn:e",), ("urn:g",)]
+
+
+def test_turtle_is_written_and_read_in_pieces(spark, tmp_path, monkeypatch):
+    from quadrille.sources import read, writers, write_turtle
+    from quadrille.sources.turtle import parse_turtle
+
+    monkeypatch.setattr(writers, "SUBJECTS", 10)
+    quads = spark.range(95).selectExpr("cast(null as string) g", "concat('urn:s', id) s", "'urn:p' p", "concat('line\n', id) o")
+    write_turtle(quads, f"{tmp_path}/t")
+    assert spark.read.text(f"{tmp_path}/t").selectExpr("input_file_name() f").groupBy("f").count().agg({"count": "max"}).first()[0] <= 10
+    assert sorted(map(tuple, read(spark, f"{tmp_path}/t", "ttl").collect())) == sorted(map(tuple, quads.collect()))
+
+    class Text(str):  # how far the parser has looked when it gives the first triple
+        def find(self, *a):
+            raise AssertionError("the first triple comes before the rest is read")
+
+    assert next(parse_turtle(Text("<urn:a> <urn:p> <urn:b> .\n$ no token\n"))) == ("urn:a", "urn:p", "urn:b")
